@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_exact_dedup, op02_packing, op03_langid, op04_jpeg, op05_bpe, op08_token_counts
+from . import op01_exact_dedup, op02_packing, op03_langid, op04_jpeg, op05_bpe, op06_html, op07_substring, op08_token_counts, op09_line_dedup
+from . import op10_minhash as op10_minhash_module
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +46,28 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_substring.duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_minhash_module.near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_language_id, op4_jpeg, op5_bpe, op8_token_counts)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_language_id, op4_jpeg, op5_bpe, op6_html, op7_substring, op8_token_counts, op9_line_dedup, op10_minhash)
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

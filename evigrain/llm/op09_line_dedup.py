@@ -13,7 +13,8 @@ deletions and substitutions turn one into the other.
 * Classes that share a key are candidates. An edit changes the counts of letters
   by two at most, so a pair whose counts of :data:`COUNTED` letters differ by
   more than twice the threshold isn't joined: the counts go with the key, seven
-  bits each in two integers. Lines of the other pairs are fetched, and the edit
+  bits each in two integers. Lines of the other pairs are fetched and sifted by
+  the JVM's own banded table, which stops early; for what is left the edit
   distance is found by the bit-parallel recurrence over a band of
   diagonals, one machine word a character (:func:`banded_distance`).
 
@@ -169,7 +170,9 @@ def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", max_
     for s in "ab":
         own = texts.select(F.col("__h1").alias(f"{s}1"), F.col("__h2").alias(f"{s}2"), F.col("__line").alias(f"{s}_line"), "__n")
         judged = salted_join(judged, own, [f"{s}1", f"{s}2"], "__n", F.struct("a1", "b1")).drop("__n")
-    near = written(judged.where(banded_distance(F.col("a_line"), F.col("b_line"), max_edits) <= max_edits).select("a1", "a2", "b1", "b2"), "near")
+    # SQL's fold over characters can't stop early, the JVM's banded table can: it sifts, the recurrence decides
+    sifted = written(judged.where(F.levenshtein("a_line", "b_line", max_edits) >= 0), "sifted")
+    near = written(sifted.where(banded_distance(F.col("a_line"), F.col("b_line"), max_edits) <= max_edits).select("a1", "a2", "b1", "b2"), "near")
     links = near.select(F.explode(F.array(F.struct(F.col("a1").alias("__h1"), F.col("a2").alias("__h2")), F.struct(F.col("b1").alias("__h1"), F.col("b2").alias("__h2")))).alias("e")).select("e.*").groupBy(*CLASS).agg(F.count("*").alias("n_links"))
     special = written(classes.select(*CLASS, "class_doc_id", "n_copies").join(links, CLASS, "left").where("n_copies > 1 or n_links is not null"), "special")
     places = lines.select("__id", "line_no", *CLASS)

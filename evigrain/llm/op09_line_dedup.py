@@ -10,13 +10,14 @@ deletions and substitutions turn one into the other.
   the edits that can be to its left and right. So a line is indexed by (its
   length, segment number, segment) and probes, for each length down to its own
   less ``max_edits``, with its substrings at those places.
-* Classes that share a key are candidates. An edit changes the counts of letters
-  by two at most, so a pair whose counts of :data:`COUNTED` letters differ by
-  more than twice the threshold isn't joined: the counts go with the key, seven
-  bits each in two integers. Lines of the other pairs are fetched and sifted by
-  the JVM's own banded table, which stops early; for what is left the edit
-  distance is found by the bit-parallel recurrence over a band of
-  diagonals, one machine word a character (:func:`banded_distance`).
+* Keys are counted first. Those of one class, nearly all, go no further, so what
+  is shuffled of a line is its keys and not its rows. Of the classes left, lines
+  are fetched and letters counted. An edit changes the counts of letters by two
+  at most, so a pair whose counts of :data:`COUNTED` letters differ by more than
+  twice the threshold isn't joined. Lines of the other pairs are sifted by the
+  JVM's own banded table, which stops early; for what is left the edit distance
+  is found by the bit-parallel recurrence over a band of diagonals, one machine
+  word a character (:func:`banded_distance`).
 
 Result: one row per line: ``key``, line_no (from 0), class_doc_id (the least id
 of a document with that very line), n_copies, n_links (different lines within
@@ -41,30 +42,32 @@ CLASS = ["__h1", "__h2"]
 COUNTED = "etaoinrshdlu"
 
 
-def segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """(Start from 1, length) of each of ``parts`` even segments; the last ones are the longer."""
-    short = F.floor(length / parts).cast("int")
-    first_long = F.lit(parts) - length % parts
-    out = []
-    for i in range(parts):
-        start = F.lit(i) * short + F.greatest(F.lit(0), F.lit(i) - first_long) + 1
-        out.append((start.cast("int"), (short + (F.lit(i) >= first_long).cast("int")).cast("int")))
-    return out
-
-
-def keys_of(line: Column, length: Column, max_edits: int) -> tuple[list[Column], list[Column]]:
-    """(Index keys, further probe keys) of a line; its index keys are probes as well."""
-    parts = max_edits + 1
+def places(max_edits: int) -> list[tuple[int, int, int]]:
+    """(Edits by which an indexed line is shorter, segment, shift) of each key; the first ones, a segment each, are the index keys."""
     index, probes = [], []
-    for shorter in range(parts):
-        own = length - shorter
-        for i, (start, size) in enumerate(segments(own, parts)):
+    for shorter in range(max_edits + 1):
+        for i in range(max_edits + 1):
             low = max(-i, shorter - (max_edits - i))
             high = min(i, shorter + (max_edits - i))
             for shift in range(low, high + 1):
-                key = F.xxhash64(own, F.lit(i), F.substring(line, start + shift, size))
-                (index if shorter == 0 and shift == 0 else probes).append(key)
-    return index, probes
+                (index if shorter == 0 and shift == 0 else probes).append((shorter, i, shift))
+    return index + probes
+
+
+def keys_of(line: Column, length: Column, max_edits: int) -> Column:
+    """A line's keys, each once, index keys first; these are probes as well."""
+    parts = max_edits + 1
+    at = F.array(*(F.struct(F.lit(n).alias("shorter"), F.lit(i).alias("i"), F.lit(d).alias("shift")) for n, i, d in places(max_edits)))
+
+    def one(x: Column) -> Column:
+        # even segments, the last ones are the longer
+        own = length - x["shorter"]
+        short = (own / parts).cast("int")
+        first_long = F.lit(parts) - own % parts
+        start = x["i"] * short + F.greatest(F.lit(0), x["i"] - first_long) + 1
+        return F.xxhash64(own, x["i"], F.substring(line, start + x["shift"], short + (x["i"] >= first_long).cast("int")))
+
+    return F.array_distinct(F.transform(at, one))
 
 
 def banded_distance(a: Column, b: Column, most: int) -> Column:
@@ -150,34 +153,49 @@ def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", max_
         raise ValueError("min_chars must be over twice max_edits")
     lines = _lines(docs, text, key)
     length = F.col("__length")
-    index, probes = keys_of(F.col("__line"), length, max_edits)
-    wide = lines.withColumn("__length", F.char_length("__line")).select("__id", "line_no", *CLASS, F.when(length >= min_chars, F.array(*index, *probes, *counted(F.col("__line")))).alias("__keys"))
-    classes = written(wide.groupBy(*CLASS).agg(F.min("__id").alias("class_doc_id"), F.count("*").alias("n_copies"), F.first("__keys").alias("__keys")), "classes")
-    n = len(index) + len(probes)
-    packed = [F.get("__keys", F.lit(n + i)) for i in range(2)]
-    keyed = classes.where("__keys is not null").select(*CLASS, "class_doc_id", packed[0].alias("__c"), packed[1].alias("__d"), F.posexplode(F.slice("__keys", 1, n)).alias("__i", "__key"))
-    left = keyed.where(F.col("__i") < len(index)).select("__key", F.col("__h1").alias("a1"), F.col("__h2").alias("a2"), F.col("class_doc_id").alias("a_doc"), F.col("__c").alias("a_c"), F.col("__d").alias("a_d"))
-    right = keyed.select("__key", F.col("__h1").alias("b1"), F.col("__h2").alias("b2"), F.col("class_doc_id").alias("b_doc"), F.col("__c").alias("b_c"), F.col("__d").alias("b_d"))
+    wide = lines.withColumn("__length", F.char_length("__line")).select("__id", "line_no", *CLASS, F.when(length >= min_chars, keys_of(F.col("__line"), length, max_edits)).alias("__keys"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "line_no")).alias("__first")
+    classes = wide.groupBy(*CLASS).agg(first, F.count("*").alias("n_copies"), F.first("__keys").alias("__keys"))
+    classes = written(classes.select(*CLASS, F.col("__first.__id").alias("class_doc_id"), F.col("__first.line_no").alias("__first_line"), "n_copies", "__keys"), "classes")
+    keyed = classes.where("__keys is not null").select(*CLASS, "class_doc_id", F.posexplode("__keys").alias("__i", "__key"))
+    # few keys are shared; only their rows go on, with their classes' ids and letter counts
+    indexed = F.col("__i") <= max_edits
+    shared = written(keyed.select("__key", indexed.alias("__indexed")).groupBy("__key").agg(F.count("*").alias("__n"), F.max("__indexed").alias("__indexed")).where("__n > 1 and __indexed").select("__key", "__n"), "keys")
+    live = written(salted_join(keyed, shared, ["__key"], "__n", F.col("__h1")).select("__key", indexed.alias("__indexed"), *CLASS, "class_doc_id"), "live")
+    ends = written(live.groupBy(*CLASS).agg(F.first("class_doc_id").alias("__doc"), F.count("*").alias("__n")), "ends")
+    ids = written(ends.select("__doc").distinct(), "ids")
+    holders = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(ids, F.col("__id").eqNullSafe(F.col("__doc")), "left_semi")
+    held = _lines(holders, "__text", "__id").withColumnsRenamed({"__h1": "__l1", "__h2": "__l2"})
+    held = held.join(ends, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__l1") == F.col("__h1")) & (F.col("__l2") == F.col("__h2")))
+    texts = held.groupBy(*CLASS).agg(F.min("__line").alias("__line"), F.first("__n").alias("__n"))
+    letters = counted(F.col("__line"))
+    texts = written(texts.withColumns({"__c": letters[0], "__d": letters[1]}), "lines")
+    marked = written(salted_join(live.drop("class_doc_id"), texts.drop("__line"), CLASS, "__n", F.col("__key")), "marked")
+    sides = {s: marked.select("__key", "__indexed", *(F.col(c).alias(f"{s}{n}") for c, n in (("__h1", "1"), ("__h2", "2"), ("__c", "_c"), ("__d", "_d")))) for s in "ab"}
+    left, right = sides["a"].where("__indexed").drop("__indexed"), sides["b"].drop("__indexed")
     differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
     swap = (F.col("a1") > F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") > F.col("b2")))
     met = left.join(right, "__key").where(differ & (apart(F.col("a_c"), F.col("b_c")) + apart(F.col("a_d"), F.col("b_d")) <= 2 * max_edits))
-    pairs = met.select(*(F.when(swap, F.col(f"b{s}")).otherwise(F.col(f"a{s}")).alias(f"a{s}") for s in "12"), *(F.when(swap, F.col(f"a{s}")).otherwise(F.col(f"b{s}")).alias(f"b{s}") for s in "12"), F.when(swap, F.col("b_doc")).otherwise(F.col("a_doc")).alias("a_doc"), F.when(swap, F.col("a_doc")).otherwise(F.col("b_doc")).alias("b_doc")).dropDuplicates(["a1", "a2", "b1", "b2"])
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("__h1"), F.col("a2").alias("__h2"), F.col("a_doc").alias("__id")), F.struct(F.col("b1").alias("__h1"), F.col("b2").alias("__h2"), F.col("b_doc").alias("__id")))).alias("e")).select("e.*").groupBy(*CLASS).agg(F.min("__id").alias("__id"), F.count("*").alias("__n"))
-    holders = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(ends.select("__id").distinct(), "__id", "left_semi")
-    texts = written(_lines(holders, "__text", "__id").join(ends, ["__id", *CLASS]).groupBy(*CLASS).agg(F.min("__line").alias("__line"), F.first("__n").alias("__n")), "lines")
-    judged = pairs.select("a1", "a2", "b1", "b2")
+    ordered = [F.when(swap, F.col(f"{o}{n}")).otherwise(F.col(f"{s}{n}")).alias(f"{s}{n}") for s, o in ("ab", "ba") for n in "12"]
+    judged = pairs = written(met.select(*ordered).dropDuplicates(), "pairs")
     for s in "ab":
-        own = texts.select(F.col("__h1").alias(f"{s}1"), F.col("__h2").alias(f"{s}2"), F.col("__line").alias(f"{s}_line"), "__n")
+        count = pairs.groupBy(f"{s}1", f"{s}2").agg(F.count("*").alias("__n"))
+        own = texts.select(F.col("__h1").alias(f"{s}1"), F.col("__h2").alias(f"{s}2"), F.col("__line").alias(f"{s}_line")).join(count, [f"{s}1", f"{s}2"])
         judged = salted_join(judged, own, [f"{s}1", f"{s}2"], "__n", F.struct("a1", "b1")).drop("__n")
     # SQL's fold over characters can't stop early, the JVM's banded table can: it sifts, the recurrence decides
     sifted = written(judged.where(F.levenshtein("a_line", "b_line", max_edits) >= 0), "sifted")
     near = written(sifted.where(banded_distance(F.col("a_line"), F.col("b_line"), max_edits) <= max_edits).select("a1", "a2", "b1", "b2"), "near")
-    links = near.select(F.explode(F.array(F.struct(F.col("a1").alias("__h1"), F.col("a2").alias("__h2")), F.struct(F.col("b1").alias("__h1"), F.col("b2").alias("__h2")))).alias("e")).select("e.*").groupBy(*CLASS).agg(F.count("*").alias("n_links"))
-    special = written(classes.select(*CLASS, "class_doc_id", "n_copies").join(links, CLASS, "left").where("n_copies > 1 or n_links is not null"), "special")
-    places = lines.select("__id", "line_no", *CLASS)
-    single = places.join(special.select(*CLASS), CLASS, "left_anti").select("__id", "line_no", F.col("__id").alias("class_doc_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("repeated"))
-    shared = salted_join(places, special, CLASS, "n_copies", F.col("__id"))
-    first = shared.where(F.col("__id") == F.col("class_doc_id")).groupBy(*CLASS).agg(F.min("line_no").alias("__first"), F.first("n_copies").alias("__n"))
-    out = salted_join(shared, first, CLASS, "__n", F.col("__id")).select("__id", "line_no", "class_doc_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), ((F.col("__id") != F.col("class_doc_id")) | (F.col("line_no") != F.col("__first"))).alias("repeated"))
-    return single.unionByName(out).withColumnRenamed("__id", key)
+    links = near.select(F.explode(F.array(*(F.struct(F.col(f"{s}1").alias("__h1"), F.col(f"{s}2").alias("__h2")) for s in "ab"))).alias("e")).select("e.*").groupBy(*CLASS).agg(F.count("*").alias("n_links"))
+    links = written(links, "links")
+    special = written(classes.drop("__keys").join(links, CLASS, "left").where("n_copies > 1 or n_links is not null"), "special")
+    out = salted_join(lines.select("__id", "line_no", *CLASS), special, CLASS, "n_copies", F.struct("__id", "line_no"), how="left")
+    alone = F.col("n_copies").isNull()
+    at_first = F.col("__id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("__first_line"))
+    return out.select(
+        F.col("__id").alias(key),
+        "line_no",
+        F.when(alone, F.col("__id")).otherwise(F.col("class_doc_id")).alias("class_doc_id"),
+        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (~alone & ~at_first).alias("repeated"),
+    )

@@ -62,14 +62,15 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, salt_by: Column, *, share: int = 500, salts: int = 32, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, salt_by: Column, *, share: int = 500, salts: int = 32, how: str = "inner", shuffled: bool = False) -> DataFrame:
     """Join (inner or left) of many rows to one row per key that stays even under hot keys.
 
     ``right`` has unique ``keys`` and, in ``count``, how many rows of ``left``
     have that key. Keys with more than one ``share``-th of those rows number
     fewer than ``share``, whatever the input, so the list of them is broadcast
     with that bound. Their left rows are dealt over ``salts`` parts by
-    ``salt_by`` and their right row is copied to each part.
+    ``salt_by`` and their right row is copied to each part. ``shuffled`` asks
+    for a merge join whatever the sizes, where ``right`` grows with the input.
     """
     total = right.agg(F.sum(count)).first()[0] or 0
     cutoff = max(total // share, 1000)
@@ -77,7 +78,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], count: s
     left = left.join(hot, list(keys), "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(salt_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__hot")
     parts = F.when(F.col(count) > cutoff, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = right.withColumn("__salt", F.explode(parts))
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+    return left.join(right.hint("merge") if shuffled else right, [*keys, "__salt"], how).drop("__salt")
 
 
 def add_columns(df: DataFrame, column: str, fields: Sequence[tuple[str, T.DataType]], make: Callable[[], Callable[[list], list[list]]], keep: Sequence[str] | None = None) -> DataFrame:

@@ -161,7 +161,7 @@ def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", max_
     # few keys are shared; only their rows go on, with their classes' ids and letter counts
     indexed = F.col("__i") <= max_edits
     shared = written(keyed.select("__key", indexed.alias("__indexed")).groupBy("__key").agg(F.count("*").alias("__n"), F.max("__indexed").alias("__indexed")).where("__n > 1 and __indexed").select("__key", "__n"), "keys")
-    live = written(salted_join(keyed, shared, ["__key"], "__n", F.col("__h1")).select("__key", indexed.alias("__indexed"), *CLASS, "class_doc_id"), "live")
+    live = written(salted_join(keyed, shared, ["__key"], "__n", F.col("__h1"), shuffled=True).select("__key", indexed.alias("__indexed"), *CLASS, "class_doc_id"), "live")
     ends = written(live.groupBy(*CLASS).agg(F.first("class_doc_id").alias("__doc"), F.count("*").alias("__n")), "ends")
     ids = written(ends.select("__doc").distinct(), "ids")
     holders = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(ids, F.col("__id").eqNullSafe(F.col("__doc")), "left_semi")
@@ -172,10 +172,12 @@ def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", max_
     texts = written(texts.withColumns({"__c": letters[0], "__d": letters[1]}), "lines")
     marked = written(salted_join(live.drop("class_doc_id"), texts.drop("__line"), CLASS, "__n", F.col("__key")), "marked")
     sides = {s: marked.select("__key", "__indexed", *(F.col(c).alias(f"{s}{n}") for c, n in (("__h1", "1"), ("__h2", "2"), ("__c", "_c"), ("__d", "_d")))) for s in "ab"}
-    left, right = sides["a"].where("__indexed").drop("__indexed"), sides["b"].drop("__indexed")
+    left, right = sides["a"].where("__indexed").drop("__indexed"), sides["b"].withColumnRenamed("__indexed", "b_indexed")
     differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
     swap = (F.col("a1") > F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") > F.col("b2")))
-    met = left.join(right, "__key").where(differ & (apart(F.col("a_c"), F.col("b_c")) + apart(F.col("a_d"), F.col("b_d")) <= 2 * max_edits))
+    # two index rows of a key meet in both orders, of which one will do
+    once = ~F.col("b_indexed") | ~swap
+    met = left.join(right, "__key").where(differ & once & (apart(F.col("a_c"), F.col("b_c")) + apart(F.col("a_d"), F.col("b_d")) <= 2 * max_edits))
     ordered = [F.when(swap, F.col(f"{o}{n}")).otherwise(F.col(f"{s}{n}")).alias(f"{s}{n}") for s, o in ("ab", "ba") for n in "12"]
     judged = pairs = written(met.select(*ordered).dropDuplicates(), "pairs")
     for s in "ab":

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -16,6 +18,47 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that a Python worker holds in derived arrays at a time.
 CHUNK_BYTES = 2_000_000
+#: Bytes of an Arrow batch sent to a Python worker, unless one row has more.
+BATCH_BYTES = 8_000_000
+_TASK_CACHES: list = []
+
+
+def task_cache(f: Callable) -> Callable:
+    """Remember a function's results until the task of :func:`map_arrow` ends."""
+    cached = functools.lru_cache(maxsize=64)(f)
+    _TASK_CACHES.append(cached)
+    return cached
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with bounded memory.
+
+    Batches are held to :data:`BATCH_BYTES` by a session setting (a smaller one
+    is left alone), and a worker, which outlives its tasks, gives back what a
+    task has freed.
+    """
+    spark = df.sparkSession
+    held = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Return free memory of a Python worker to the system."""
+    for cached in _TASK_CACHES:
+        cached.cache_clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -105,7 +148,7 @@ def add_columns(df: DataFrame, column: str, fields: Sequence[tuple[str, T.DataTy
                 part = [batch.column(i).slice(start, end - start) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*(x.cast(arrow.field(i).type) for i, x in enumerate(part)), *(pa.array(x, arrow.field(len(kept) + i).type) for i, x in enumerate(out))], schema=arrow)
 
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`").alias(source)).mapInArrow(run, schema)
+    return map_arrow(df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`").alias(source)), run, schema)
 
 
 def runs(values: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

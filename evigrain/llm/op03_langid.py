@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, runs, text_or_empty
+from .common import add_columns, map_arrow, runs, text_or_empty
 
 LETTER = re.compile(r"[^\W\d_]")
 SIZES = (2, 3, 4)
@@ -101,7 +101,7 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang", key: str
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["label", "bucket", "n"])
 
-    counted = labelled.select("__text", "__label").mapInArrow(count, schema).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = map_arrow(labelled.select("__text", "__label"), count, schema).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counted["label"].unique())
     matrix = np.full((width, len(names)), smoothing)
     for i, name in enumerate(names):

@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import evidence, identity, textual
 from ..operators import agreement, consensus, corpus, coverage, ordered, search
 from ..session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import query
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as claims: a user is a topic, a day a group, the type a stance, the value a strength."""

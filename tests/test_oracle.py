@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from evigrain.plans.queries import ORACLE, QUERIES
+from evigrain.plans import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,4 +1,11 @@
-"""Operators on ordered rows: quotas, projections, streaks, neighbours, as-of lookups."""
+"""Operators on ordered rows: quotas, projections, streaks, neighbours, as-of lookups.
+
+Windows over a key's rows would put a hot key into one task. So rows are cut
+into slices of the first order column, at quantiles of all rows, and windows run
+by key and slice; what a slice needs from those before it (a sum, a last value)
+comes from a small table of one row a key and slice. Equal values of that column
+share a slice, so a column of few values can't be cut.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +16,73 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def quota(requests: DataFrame, by: Sequence[str], order: Sequence[str], amount: str, cap: int) -> DataFrame:
+#: Rows of a slice, about; and the most slices.
+SLICE_ROWS = 2_000_000
+MOST_SLICES = 1024
+
+
+def sliced(rows: DataFrame, order: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``rows`` with ``__slice``, which rises with ``order``; nulls are in slice 0.
+
+    Bounds are approximate quantiles, 1,023 numbers at most, found in one pass
+    and then fixed, so a row's slice is the same whenever it is computed, by binary search.
+    """
+    place = F.col(order)
+    if dict(rows.dtypes)[order].startswith("timestamp"):
+        place = F.unix_micros(place.cast("timestamp"))
+    n = min(MOST_SLICES, -(-rows.count() // slice_rows))
+    if n <= 1:
+        return rows.withColumn("__slice", F.lit(0))
+    found = rows.agg(F.percentile_approx(place, [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    bounds = sorted(set(found))
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(place > bounds[middle], search(middle + 1, high)).otherwise(search(low, middle))
+
+    return rows.withColumn("__slice", search(0, len(bounds)))
+
+
+def _with_carried(rows: DataFrame, by: Sequence[str], facts: Sequence[Column], carry: dict[str, Column]) -> DataFrame:
+    """``rows`` with, for each slice of a key, what ``carry`` makes of the ``facts`` of the key's other slices."""
+    per = rows.groupBy(*by, "__slice").agg(*facts)
+    per = per.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(by)), F.col("__slice").alias("__s"), *(c.over(w).alias(n) for n, (c, w) in ((n, (c, _slices(by, way))) for n, (c, way) in carry.items())))
+    met = F.col("__slice") == F.col("__s")
+    for i, k in enumerate(by):
+        met &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(per, met).drop("__s", *(f"__k{i}" for i in range(len(by))))
+
+
+def _slices(by: Sequence[str], way: str):
+    w = W.partitionBy(*by).orderBy("__slice")
+    return w.rowsBetween(W.unboundedPreceding, -1) if way == "before" else w
+
+
+def _sum_before(rows: DataFrame, by: Sequence[str], order: Sequence[str], amount: str, name: str, *, ties: bool = False) -> DataFrame:
+    """``rows`` (sliced) with the sum over the rows before each; with ``ties`` over those, itself and its equals."""
+    w = W.partitionBy(*by, "__slice").orderBy(*order)
+    own = F.sum(amount).over(w.rangeBetween(W.unboundedPreceding, 0) if ties else w.rowsBetween(W.unboundedPreceding, -1))
+    carried = _with_carried(rows, by, [F.sum(amount).alias("__total")], {"__base": (F.sum("__total"), "before")})
+    return carried.withColumn(name, F.coalesce(own, F.lit(0)) + F.coalesce("__base", F.lit(0))).drop("__base")
+
+
+def _beside(rows: DataFrame, by: Sequence[str], order: Sequence[str], column: str) -> DataFrame:
+    """``rows`` (sliced) with ``__back`` and ``__next``: the column in the rows before and after, and ``__first``."""
+    w, place = W.partitionBy(*by, "__slice").orderBy(*order), F.struct(*order)
+    facts = [F.min_by(column, place).alias("__head"), F.max_by(column, place).alias("__tail")]
+    carried = _with_carried(rows, by, facts, {"__before": (F.lag("__tail"), "all"), "__after": (F.lead("__head"), "all"), "__nth": (F.row_number(), "all")})
+    first, last = F.row_number().over(w) == 1, F.lead(F.lit(1)).over(w).isNull()
+    carried = carried.withColumn("__first", first & (F.col("__nth") == 1))
+    carried = carried.withColumn("__back", F.when(first, F.col("__before")).otherwise(F.lag(column).over(w))).withColumn("__next", F.when(last, F.col("__after")).otherwise(F.lead(column).over(w)))
+    return carried.drop("__before", "__after", "__nth")
+
+
+def quota(requests: DataFrame, by: Sequence[str], order: Sequence[str], amount: str, cap: int, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """What each request is granted, in order, until ``cap`` is used up."""
-    before = F.coalesce(F.sum(amount).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return requests.withColumn("granted", F.least(F.col(amount), F.greatest(F.lit(0), F.lit(cap) - before)))
+    before = _sum_before(sliced(requests, order[0], slice_rows), by, order, amount, "__before")
+    return before.withColumn("granted", F.least(F.col(amount), F.greatest(F.lit(0), F.lit(cap) - F.col("__before")))).drop("__before", "__slice")
 
 
 def project(events: DataFrame, by: Sequence[str], field: str, value: str, seq: str) -> DataFrame:
@@ -27,24 +97,29 @@ def first_of(events: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     return kept.select(*by, *(F.col(f"__e.{c}").alias(c) for c in others))
 
 
-def streaks(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, least: int) -> DataFrame:
-    """Runs of at least ``least`` consecutive rows with the same value."""
-    whole, own = W.partitionBy(*by).orderBy(*order), W.partitionBy(*by, value).orderBy(*order)
-    island = rows.withColumn("__i", F.row_number().over(whole) - F.row_number().over(own))
+def streaks(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, least: int, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Runs of at least ``least`` consecutive rows with the same value; nulls are one value."""
+    needed = rows.select(*dict.fromkeys([*by, *order, value]))
+    beside = _beside(sliced(needed, order[0], slice_rows), by, order, value)
+    new = beside.withColumn("__new", (F.col("__first") | ~F.col(value).eqNullSafe(F.col("__back"))).cast("int"))
+    island = _sum_before(new, by, order, "__new", "__i").withColumn("__i", F.col("__i") + F.col("__new"))
     runs = island.groupBy(*by, value, "__i").agg(F.count("*").alias("length"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
     return runs.where(F.col("length") >= least).drop("__i")
 
 
-def neighbours(rows: DataFrame, by: Sequence[str], order: Sequence[str], text: str) -> DataFrame:
+def neighbours(rows: DataFrame, by: Sequence[str], order: Sequence[str], text: str, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Each text with the one before and after it, joined by spaces."""
-    w = W.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("context", F.concat_ws(" ", F.lag(text).over(w), F.col(text), F.lead(text).over(w)))
+    beside = _beside(sliced(rows, order[0], slice_rows), by, order, text)
+    return beside.withColumn("context", F.concat_ws(" ", "__back", text, "__next")).select(*rows.columns, "context")
 
 
-def last_before(rows: DataFrame, by: Sequence[str], order: Sequence[str], mark: Column, value: str, name: str) -> DataFrame:
+def last_before(rows: DataFrame, by: Sequence[str], order: Sequence[str], mark: Column, value: str, name: str, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """For each row the value of the last row before it, or itself, that has the mark."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(F.when(mark, F.col(value)), ignorenulls=True).over(w))
+    marked = sliced(rows, order[0], slice_rows).withColumn("__v", F.when(mark, F.col(value)))
+    w = W.partitionBy(*by, "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    there = F.when(F.col("__v").isNotNull(), F.struct(*order))
+    carried = _with_carried(marked, by, [F.max_by("__v", there).alias("__tail")], {"__carried": (F.last("__tail", ignorenulls=True), "before")})
+    return carried.withColumn(name, F.coalesce(F.last("__v", ignorenulls=True).over(w), F.col("__carried"))).drop("__v", "__slice", "__carried")
 
 
 def resolve(facts: DataFrame, by: str, priority: Column, value: str, ties: Sequence[str]) -> DataFrame:
@@ -77,9 +152,11 @@ def shifts(clusters: DataFrame, by: Sequence[str], start: str, name: str) -> Dat
     return pairs.where(F.col("later_start") > F.col("earlier_start"))
 
 
-def tolerance_clusters(values: DataFrame, by: Sequence[str], value: str, tolerance: float) -> DataFrame:
+def tolerance_clusters(values: DataFrame, by: Sequence[str], value: str, tolerance: float, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Runs of sorted values in which no step exceeds ``tolerance``: count, least, greatest."""
-    w = W.partitionBy(*by).orderBy(value)
-    step = F.when(F.col(value) - F.lag(value).over(w) > tolerance, 1).otherwise(0)
-    marked = values.withColumn("__n", step).withColumn("cluster", F.sum("__n").over(w.rangeBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "cluster").agg(F.count("*").alias("members"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    # equal values are one step, so each counts once and carries its number
+    counted = values.groupBy(*by, value).agg(F.count("*").alias("__rows"))
+    beside = _beside(sliced(counted, value, slice_rows), by, [value], value)
+    marked = beside.withColumn("__n", F.when(F.col(value) - F.col("__back") > tolerance, 1).otherwise(0))
+    placed = _sum_before(marked, by, [value], "__n", "cluster", ties=True)
+    return placed.groupBy(*by, "cluster").agg(F.sum("__rows").alias("members"), F.min(value).alias("least"), F.max(value).alias("greatest"))

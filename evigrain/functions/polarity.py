@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 #: What negates a clause.
 NEGATIONS = (
     r"(?iU)\b(?:not|no|never|neither|nor|none|without|lack|lacks|lacking|absence|absent|rarely|seldom|failed? to|failing to|no evidence|declined? to|refused? to|cannot|can\s+not"
@@ -60,31 +62,36 @@ def clauses(text: Column) -> Column:
 
 
 def _side(clause: Column, turned: Column, pair: tuple[str, str]) -> Column:
-    one, two = (clause.rlike(f"(?iU)(?:{p})") for p in pair)
-    return F.when(one & two, "BOTH").when(one | two, F.when(one == turned, "NEG").otherwise("POS"))
+    found = F.struct(*(clause.rlike(f"(?iU)(?:{p})").alias(n) for n, p in zip(("one", "two"), pair, strict=True)))
+    return bound(found, lambda f: F.when(f["one"] & f["two"], "BOTH").when(f["one"] | f["two"], F.when(f["one"] == turned, "NEG").otherwise("POS")))
 
 
 def clause_polarity(clause: Column) -> Column:
     """negated, reversed, and for each kind of opposite POS, NEG, BOTH or null."""
-    negated, turned = net_negations(clause) % 2 == 1, clause.rlike(REVERSALS)
-    sides = (_side(clause, negated | turned, pair).alias(name) for name, pair in OPPOSITES.items())
-    return F.struct(negated.alias("negated"), turned.alias("reversed"), *sides)
+    state = F.struct((net_negations(clause) % 2 == 1).alias("negated"), clause.rlike(REVERSALS).alias("reversed"))
+    return bound(state, lambda s: F.struct(s["negated"].alias("negated"), s["reversed"].alias("reversed"), *(_side(clause, s["negated"] | s["reversed"], pair).alias(name) for name, pair in OPPOSITES.items())))
+
+
+def _parts(text: Column) -> Column:
+    return F.transform(clauses(text), lambda c: clause_polarity(c))
 
 
 def _merged(parts: Column, name: str) -> Column:
     seen = F.array_distinct(F.filter(F.transform(parts, lambda p: p[name]), lambda s: s.isNotNull()))
-    return F.when(F.size(seen) > 1, "BOTH").when(F.size(seen) == 1, F.element_at(seen, 1))
+    return bound(seen, lambda s: F.when(F.size(s) > 1, "BOTH").when(F.size(s) == 1, F.get(s, F.lit(0))))
 
 
 def signature(text: Column) -> Column:
     """The polarity of a whole text: that of its clauses, merged; ``negated`` is its own parity."""
-    parts = F.transform(clauses(text), clause_polarity)
-    return F.struct(
-        (net_negations(text) % 2 == 1).alias("negated"),
-        F.exists(parts, lambda p: p["reversed"]).alias("reversed"),
-        *(_merged(parts, name).alias(name) for name in OPPOSITES),
-        F.size(F.filter(parts, lambda p: p["negated"])).alias("negated_clauses"),
-        F.size(parts).alias("total_clauses"),
+    return bound(
+        _parts(text),
+        lambda parts: F.struct(
+            (net_negations(text) % 2 == 1).alias("negated"),
+            F.exists(parts, lambda p: p["reversed"]).alias("reversed"),
+            *(_merged(parts, name).alias(name) for name in OPPOSITES),
+            F.size(F.filter(parts, lambda p: p["negated"])).alias("negated_clauses"),
+            F.size(parts).alias("total_clauses"),
+        ),
     )
 
 
@@ -94,17 +101,30 @@ def check(claim: Column, evidence: Column) -> Column:
     Opposites decide, kind by kind in their order; only a claim without any is
     compared by its negations, which all clauses of the evidence must share.
     """
-    said = signature(claim)
-    parts = F.transform(clauses(evidence), clause_polarity)
-    reversed_ = F.exists(parts, lambda p: p["reversed"])
-    directed = F.exists(parts, lambda p: F.coalesce(*(p[name] for name in OPPOSITES)).isNotNull())
+    blank = F.trim(_text(claim)) == ""
+    return bound(F.struct(signature(claim).alias("said"), _evidence(evidence).alias("there")), lambda x: F.when(~blank & (x["there"]["clauses"] > 0), _verdict(x["said"], x["there"])))
+
+
+def _evidence(text: Column) -> Column:
+    return bound(
+        _parts(text),
+        lambda parts: F.struct(
+            F.size(parts).alias("clauses"),
+            F.exists(parts, lambda p: p["reversed"]).alias("reversed"),
+            F.exists(parts, lambda p: F.coalesce(*(p[name] for name in OPPOSITES)).isNotNull()).alias("directed"),
+            F.array_distinct(F.transform(parts, lambda p: p["negated"])).alias("negated"),
+            *(_merged(parts, name).alias(name) for name in OPPOSITES),
+        ),
+    )
+
+
+def _verdict(said: Column, there: Column) -> Column:
     verdicts = []
     for name in OPPOSITES:
-        here, there = said[name], _merged(parts, name)
-        verdict = F.when((here == "BOTH") | F.coalesce(there == "BOTH", F.lit(False)), "UNRESOLVED").when(there.isNull(), F.when(reversed_ | directed, "UNRESOLVED")).when(there != here, "CONTRADICTORY")
-        verdicts.append(F.when(here.isNotNull(), verdict))
+        one, two = said[name], there[name]
+        verdict = F.when((one == "BOTH") | F.coalesce(two == "BOTH", F.lit(False)), "UNRESOLVED").when(two.isNull(), F.when(there["reversed"] | there["directed"], "UNRESOLVED")).when(two != one, "CONTRADICTORY")
+        verdicts.append(F.when(one.isNotNull(), verdict))
     opposed = F.coalesce(*(said[name] for name in OPPOSITES)).isNotNull()
-    flags = F.array_distinct(F.transform(parts, lambda p: p["negated"]))
-    by_negation = F.when(F.size(flags) > 1, "UNRESOLVED").when(said["negated"] != F.element_at(flags, 1), "CONTRADICTORY").when(reversed_ & ~directed, "UNRESOLVED")
-    blank = (F.trim(_text(claim)) == "") | (F.size(parts) == 0)
-    return F.when(~blank, F.when(opposed, F.coalesce(*verdicts)).otherwise(by_negation))
+    negated = there["negated"]
+    by_negation = F.when(F.size(negated) > 1, "UNRESOLVED").when(said["negated"] != F.get(negated, F.lit(0)), "CONTRADICTORY").when(there["reversed"] & ~there["directed"], "UNRESOLVED")
+    return F.when(opposed, F.coalesce(*verdicts)).otherwise(by_negation)

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
 from .evidence import lookup
 
 #: Dimension, factor to its base unit, and the unit's spellings (case counts: mL isn't ML).
@@ -100,27 +101,36 @@ def quantities(text: Column, *, strict: bool = False) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
 
-    def one(m: Column) -> Column:
-        part = lambda i: F.regexp_extract(m, PATTERN, i)
-        unit_raw = part(5)
-        word = F.regexp_replace(unit_raw, f"^{_BLANK}+", "")
-        spelled = F.coalesce(F.when(word.isin(*DIMENSION), word), lookup(WORDS, F.lower(word)))
-        symbol = F.lit(strict) | (unit_raw == word) | word.rlike(_COMPOUND) | (word.rlike(r"^\S{1,2}$") & word.rlike(r"[^a-z]")) | word.rlike(r"^[^a-z]{3,}$")
-        unit = F.coalesce(spelled, F.when((word != "") & symbol, word))
-        power = F.when(part(4) != "", F.pow(F.lit(10.0), F.regexp_replace(part(4), "^[eE]", "").cast("int")).cast("decimal(22,10)")).otherwise(F.lit(1).cast("decimal(22,10)"))
-        value = (F.when(part(2) != "", -_parsed(part(3))).otherwise(_parsed(part(3))) * power).cast("decimal(22,10)")
-        factor = F.when(spelled.isNotNull(), lookup(FACTOR, spelled).cast("decimal(16,12)"))
+    def split(m: Column) -> Column:
+        names = ("comparator", "sign", "number", "power", "unit")
+        return F.struct(*(F.regexp_extract(m, PATTERN, i).alias(n) for i, n in enumerate(names, 1)))
+
+    def named(p: Column) -> Column:
+        word = F.regexp_replace(p["unit"], f"^{_BLANK}+", "")
+        return bound(word, lambda w: F.struct(w.alias("word"), F.coalesce(F.when(w.isin(*DIMENSION), w), lookup(WORDS, F.lower(w))).alias("spelled")))
+
+    def valued(p: Column, n: Column) -> Column:
+        w, spelled = n["word"], n["spelled"]
+        symbol = F.lit(strict) | (p["unit"] == w) | w.rlike(_COMPOUND) | (w.rlike(r"^\S{1,2}$") & w.rlike(r"[^a-z]")) | w.rlike(r"^[^a-z]{3,}$")
+        power = F.when(p["power"] != "", F.pow(F.lit(10.0), F.regexp_replace(p["power"], "^[eE]", "").cast("int")).cast("decimal(22,10)")).otherwise(F.lit(1).cast("decimal(22,10)"))
+        value = F.when(p["sign"] != "", -_parsed(p["number"])).otherwise(_parsed(p["number"])) * power
+        return F.struct(value.cast("decimal(22,10)").alias("value"), F.coalesce(spelled, F.when((w != "") & symbol, w)).alias("unit"), lookup(DIMENSION, spelled).alias("dimension"), lookup(FACTOR, spelled).cast("decimal(16,12)").alias("factor"))
+
+    def told(p: Column, v: Column) -> Column:
         return F.struct(
-            F.concat(part(2), part(3), part(4), F.when(unit.isNotNull(), unit_raw).otherwise("")).alias("raw"),
-            value.alias("value"),
-            F.when(part(1) != "", lookup(COMPARATORS, part(1))).alias("comparator"),
-            unit.alias("unit"),
-            F.when(spelled.isNotNull(), lookup(DIMENSION, spelled)).when(unit.isNotNull(), "unknown").alias("dimension"),
-            F.coalesce((value * factor).cast("decimal(38,21)"), value.cast("decimal(38,21)")).alias("base"),
-            (F.char_length(part(2)) > 1).alias("doubtful"),
+            F.concat(p["sign"], p["number"], p["power"], F.when(v["unit"].isNotNull(), p["unit"]).otherwise("")).alias("raw"),
+            v["value"].alias("value"),
+            F.when(p["comparator"] != "", lookup(COMPARATORS, p["comparator"])).alias("comparator"),
+            v["unit"].alias("unit"),
+            F.coalesce(v["dimension"], F.when(v["unit"].isNotNull(), "unknown")).alias("dimension"),
+            F.coalesce((v["value"] * v["factor"]).cast("decimal(38,21)"), v["value"].cast("decimal(38,21)")).alias("base"),
+            (F.char_length(p["sign"]) > 1).alias("doubtful"),
         )
 
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), one), lambda q: q["value"].isNotNull())
+    def one(m: Column) -> Column:
+        return bound(split(m), lambda p: bound(named(p), lambda n: bound(valued(p, n), lambda v: told(p, v))))
+
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: one(m)), lambda q: q["value"].isNotNull())
 
 
 def same_quantity(a: Column, b: Column, *, ratio: bool = False, dimensionless: bool = False) -> Column:
@@ -146,8 +156,18 @@ def value_found(value: Column, source: Column, **declared: bool) -> Column:
     Else COMPARATOR_MISMATCH (they are there with another comparator or mark),
     UNIT_MISMATCH (their numbers are), VALUE_MISMATCH, or NO_QUANTITY.
     """
-    wanted, there = quantities(value, strict=True), quantities(source)
-    met = F.forall(wanted, lambda a: F.exists(there, lambda b: same_quantity(a, b, **declared)))
-    amount = F.forall(wanted, lambda a: F.exists(there, lambda b: (a["base"] == b["base"]) & a["dimension"].eqNullSafe(b["dimension"]) & (F.coalesce(a["dimension"] != "unknown", F.lit(True)) | (a["unit"] == b["unit"]))))
-    number = F.forall(wanted, lambda a: F.exists(there, lambda b: a["value"] == b["value"]))
-    return F.when(F.size(wanted) == 0, "NO_QUANTITY").when(met, "ALIGNED").when(amount, "COMPARATOR_MISMATCH").when(number, "UNIT_MISMATCH").otherwise("VALUE_MISMATCH")
+    pair = F.struct(quantities(value, strict=True).alias("wanted"), quantities(source).alias("there"))
+    every = lambda p, meets: F.forall(p["wanted"], lambda a: F.exists(p["there"], lambda b: meets(a, b)))
+
+    def amount(a: Column, b: Column) -> Column:
+        known = F.coalesce(a["dimension"] != "unknown", F.lit(True)) | (a["unit"] == b["unit"])
+        return (a["base"] == b["base"]) & a["dimension"].eqNullSafe(b["dimension"]) & known
+
+    return bound(
+        pair,
+        lambda p: F.when(F.size(p["wanted"]) == 0, "NO_QUANTITY")
+        .when(every(p, lambda a, b: same_quantity(a, b, **declared)), "ALIGNED")
+        .when(every(p, amount), "COMPARATOR_MISMATCH")
+        .when(every(p, lambda a, b: a["value"] == b["value"]), "UNIT_MISMATCH")
+        .otherwise("VALUE_MISMATCH"),
+    )

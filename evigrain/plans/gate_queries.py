@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..functions import evidence, gates, polarity, quantity
+from ..functions import evidence, gates, polarity, quantity, quotes
 from ..session import table
 from .registry import query
 
@@ -262,3 +262,20 @@ def question_selection(spark, sf_dir):
     tier = F.when(urgent & (F.col("o_orderstatus") == "O"), 0).when(urgent, 1).otherwise(2)
     o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
     return o.withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy(tier, "o_orderkey"))).where("n <= 2").select("o_orderkey")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+')[1:12] AS w FROM conversations WHERE regexp_matches(text, '^[A-Za-z]{3}') AND NOT regexp_matches(text, '[^a-zA-Z.,\\s]'))
+    SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'HYPHEN_JOIN' WHEN 2 THEN 'FUZZY' ELSE 'NOT_FOUND' END AS how,
+        round(CASE turn % 4 WHEN 2 THEN 12 / 13 WHEN 3 THEN 0 ELSE 1 END, 6)::DOUBLE AS ratio FROM c WHERE len(list_distinct(w)) = 12""")
+def quote_audit(spark, sf_dir):
+    clean = F.col("text").rlike("^[A-Za-z]{3}") & ~F.col("text").rlike(r"[^a-zA-Z.,\s]")
+    c = table(spark, sf_dir, "conversations").where(clean).withColumn("w", F.slice(quotes.tokens(F.lower("text")), 1, 12))
+    c = c.where(F.size(F.array_distinct("w")) == 12)
+    quote = (
+        F.when(F.col("turn") % 4 == 0, F.regexp_replace(F.upper("text"), " ", "  "))
+        .when(F.col("turn") % 4 == 1, F.concat(F.left("text", F.lit(2)), F.lit("- "), F.substr("text", F.lit(3))))
+        .when(F.col("turn") % 4 == 2, F.concat_ws(" ", "w", F.lit("zzz")))
+        .otherwise("qqq zzz")
+    )
+    found = c.select("conv_id", "turn", quotes.locate(quote, F.col("text")).alias("f"))
+    return found.select("conv_id", "turn", F.col("f.how").alias("how"), F.round("f.ratio", 6).alias("ratio"))

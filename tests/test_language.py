@@ -1,9 +1,10 @@
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from evigrain.functions import gates, polarity, quantity
+from evigrain.functions import gates, polarity, quantity, quotes
 
 
 def column(spark, values, build):
@@ -115,3 +116,20 @@ def test_narrative(spark):
 
 def test_outbound_query(spark):
     assert column(spark, [r"find  C:\me\x.txt Secret thing file:///a/b "], lambda q: gates.outbound_query(q, ["secret"])) == ["find thing"]
+
+
+def test_locate(spark):
+    pairs = [("The  Cat—sat", "so the cat-sat."), ("effi- cient", "an efficient way"), ("双因 素", "采用双因素法"), ("alpha beta gamma", "nothing here"), ("", "x"), (None, "x"), ("x", None)]
+    assert [r["how"] for r in column(spark, pairs, quotes.locate)] == ["EXACT", "HYPHEN_JOIN", "WHITESPACE_RELAXED", "NOT_FOUND", "EMPTY", "EMPTY", "NOT_FOUND"]
+
+
+def test_best_window(spark):
+    rng = random.Random(3)
+    pairs = [(" ".join(rng.choices("abcdefg", k=rng.randint(0, 6))), " ".join(rng.choices("abcdefghij", k=rng.choice([0, 3, 40, 500])))) for _ in range(60)]
+    got = column(spark, pairs, lambda a, b: quotes.best_window(quotes.tokens(a), quotes.tokens(b)))
+    for (needle, hay), found in zip(pairs, got, strict=True):
+        need, words = set(needle.split()), hay.split()
+        shares = [len(need & set(words[i : i + len(need)])) for i in range(min(400, max(1, len(words) - len(need) + 1)))] if need and words else [0]
+        want = max(shares)
+        assert found["ratio"] == pytest.approx(want / len(need) if need else 0)
+        assert found["start"] == (shares.index(want) if want else None)

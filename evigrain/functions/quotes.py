@@ -13,6 +13,8 @@ CONFUSABLE = {"‘": "'", "’": "'", "“": '"', "”": '"', "‐": "-", "‑":
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 #: Fixed value: windows are looked at from this many first tokens.
 MOST_STARTS = 400
+#: Fixed value: the share of a quote's tokens that a window holds at least.
+LEAST_RATIO = 0.95
 
 
 def plain(text: Column) -> Column:
@@ -45,7 +47,7 @@ def best_window(needle: Column, haystack: Column) -> Column:
     return bound(F.struct(F.array_distinct(needle).alias("need"), haystack.alias("hay")), search)
 
 
-def locate(quote: Column, source: Column, threshold: float = 0.9) -> Column:
+def locate(quote: Column, source: Column, threshold: float = LEAST_RATIO) -> Column:
     """Struct of how (EXACT, HYPHEN_JOIN, WHITESPACE_RELAXED, FUZZY, NOT_FOUND, EMPTY) and ratio.
 
     White space inside a quote is ignored for Chinese text alone. A null or

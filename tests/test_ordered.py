@@ -59,3 +59,11 @@ def test_empty(rows, name):
 def test_slices_are_even(rows):
     sizes = [r["count"] for r in ordered.sliced(rows, "at", 5).groupBy("__slice").count().collect()]
     assert len(sizes) > 60 and max(sizes) <= 15
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "decimal(12,2)", "string"])
+def test_kinds_of_order(rows, kind):
+    place = F.timestamp_seconds(F.col("at") * 86_400).cast(kind) if kind.startswith(("time", "date")) else F.col("at").cast(kind)
+    d = rows.withColumn("at", place)
+    assert told(ordered.quota(d, ["k"], ["at"], "n", 60, slice_rows=9)) == told(ordered.quota(d, ["k"], ["at"], "n", 60, slice_rows=10**9))
+    assert (ordered.sliced(d, "at", 9).agg(F.max("__slice")).first()[0] > 0) == (kind != "string")

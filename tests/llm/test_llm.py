@@ -265,6 +265,23 @@ def test_substring(spark):
     assert op07_substring.duplicate_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_apart_or_misled():
+    rnd, _ = corpus(0, 11)
+    fresh = lambda k: [f"w{rnd.randrange(10**9)}" for _ in range(k)]
+
+    def spans(a, b):
+        return [p[:3] for p in op07_substring.passages(" ".join(a).encode(), " ".join(b).encode(), 50)]
+
+    one, two, between, stray = fresh(60), fresh(60), fresh(500), fresh(5)
+    assert spans(one + two, one + between + two) == [(0, 60, 0), (60, 120, 560)]
+    p = fresh(50)
+    assert spans(stray + ["x"] + p, stray + fresh(300) + p) == [(6, 56, 305)]
+    assert spans(fresh(9) + p + fresh(9), p[:25] + fresh(200) + p) == [(9, 59, 225)]
+    halves = fresh(30), fresh(30)
+    assert spans(halves[0] + halves[1], halves[1] + halves[0]) == [(0, 60, 0)]
+    assert spans(["long"] * 300 + one, ["long"] * 200 + fresh(400) + one)[-1] == (300, 360, 600)
+
+
 def test_compact_windows():
     from evigrain.llm.shingles import mix
 

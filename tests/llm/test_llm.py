@@ -282,6 +282,20 @@ def test_passages_apart_or_misled():
     assert spans(["long"] * 300 + one, ["long"] * 200 + fresh(400) + one)[-1] == (300, 360, 600)
 
 
+def test_substring_past_least_document(spark):
+    rnd, _ = corpus(0, 12)
+    fresh = lambda k: [f"w{rnd.randrange(10**9)}" for _ in range(k)]
+    rows = []
+    for g in range(20):
+        p = fresh(60)
+        variant = [w if k % 12 else f"x{k}" for k, w in enumerate(p)]
+        phrases = [x for k in range(0, 60, 6) for x in p[k : k + 6] + fresh(3)]
+        rows += [(g * 10, fresh(9) + variant + phrases), (g * 10 + 1, fresh(30) + p), (g * 10 + 2, p + fresh(30))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id): (r.start_word, r.end_word, r.keep_start_word) for r in op07_substring.duplicate_passages(docs).collect()}
+    assert got == {(g * 10 + 2, g * 10 + 1): (0, 60, 30) for g in range(20)}
+
+
 def test_compact_windows():
     from evigrain.llm.shingles import mix
 

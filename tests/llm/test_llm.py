@@ -296,6 +296,22 @@ def test_substring_past_least_document(spark):
     assert got == {(g * 10 + 2, g * 10 + 1): (0, 60, 30) for g in range(20)}
 
 
+def test_substring_recall_of_edited(spark):
+    rnd, _ = corpus(0, 13)
+    fresh = lambda k: [f"w{rnd.randrange(10**9)}" for _ in range(k)]
+    shingled = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, near = [], set()
+    for g in range(400):
+        p = fresh(50)
+        q = p[:25] + ["changed"] + p[26:]
+        if len(shingled(p) & shingled(q)) >= 0.8 * len(shingled(p) | shingled(q)):
+            near.add((2 * g + 1, 2 * g))
+        rows += [(2 * g, fresh(30) + p + fresh(30)), (2 * g + 1, fresh(20) + q + fresh(40))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id) for r in op07_substring.duplicate_passages(docs).collect()}
+    assert len(near) == 400 and got <= near and len(got) >= 0.98 * len(near)
+
+
 def test_compact_windows():
     from evigrain.llm.shingles import mix
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import shutil
@@ -65,8 +66,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written tables.
 
     The cluster's ``spark.checkpoint.dir`` wins, then a checkpoint folder set
-    in code. Only where neither is set (local runs, tests) is a temporary
-    folder made and registered.
+    in code. Where neither is set, a temporary folder is made for a local
+    master only: on a cluster executors wouldn't see each other's files.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
@@ -74,12 +75,19 @@ def scratch_dir(spark: SparkSession) -> str:
     option = spark.sparkContext._jsc.sc().getCheckpointDir()
     if option.isDefined():
         return option.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="evigrain-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
     return scratch_dir(spark)
 
 
+#: Tables written inside :func:`cleared`, innermost last.
+_TRACKED: list[list[tuple[SparkSession, str]]] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder, read it back.
 
@@ -89,39 +97,68 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/evigrain-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _TRACKED:
+        _TRACKED[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`written` made."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+@contextlib.contextmanager
+def cleared() -> Iterator[None]:
+    """Delete at the end all tables that :func:`written` made inside."""
+    _TRACKED.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _TRACKED.pop():
+            _delete(spark, path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`written` made."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            _delete(df.sparkSession, name.rpartition("/")[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, salt_by: Column, *, share: int = 500, salts: int = 32, how: str = "inner", shuffled: bool = False) -> DataFrame:
+def fingerprint(text: Column) -> Column:
+    """With the key, tells rows apart whose key stands for several texts."""
+    return F.xxhash64(text_or_empty(text))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, salt_by: Column, *, total: int | None = None, share: int = 500, least: int = 1000, how: str = "inner", shuffled: bool = False) -> DataFrame:
     """Join (inner or left) of many rows to one row per key that stays even under hot keys.
 
     ``right`` has unique ``keys`` and, in ``count``, how many rows of ``left``
-    have that key. Keys with more than one ``share``-th of those rows number
-    fewer than ``share``, whatever the input, so the list of them is broadcast
-    with that bound. Their left rows are dealt over ``salts`` parts by
-    ``salt_by`` and their right row is copied to each part. ``shuffled`` asks
-    for a merge join whatever the sizes, where ``right`` grows with the input.
+    have that key; ``total`` is their sum or more, if that is known. Keys with
+    more than one ``share``-th of those rows number fewer than ``share``,
+    whatever the input, so the list of them is broadcast with that bound. Their
+    left rows are dealt by ``salt_by`` over as many parts as keep a part to
+    that share, and their right row is copied to each part. Where no key can
+    have that many (``total`` up to ``least``) it is a plain join. ``shuffled``
+    asks for a merge join whatever the sizes, where ``right`` grows with the
+    input.
     """
-    total = right.agg(F.sum(count)).first()[0] or 0
-    cutoff = max(total // share, 1000)
-    hot = F.broadcast(right.where(F.col(count) > cutoff).select(*keys, F.lit(True).alias("__hot")).limit(share))
-    left = left.join(hot, list(keys), "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(salt_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__hot")
-    parts = F.when(F.col(count) > cutoff, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = right.withColumn("__salt", F.explode(parts))
-    return left.join(right.hint("merge") if shuffled else right, [*keys, "__salt"], how).drop("__salt")
+    if total is None:
+        total = right.agg(F.sum(count)).first()[0] or 0
+    hinted = (lambda df: df.hint("merge")) if shuffled else (lambda df: df)
+    if total <= least:
+        return left.join(hinted(right), list(keys), how)
+    cutoff = max(total // share, least)
+    parts = F.ceil(F.col(count) / cutoff).cast("int")
+    hot = F.broadcast(right.where(F.col(count) > cutoff).select(*keys, parts.alias("__salts")))
+    left = left.join(hot, list(keys), "left").withColumn("__salt", F.when(F.col("__salts").isNotNull(), F.pmod(F.xxhash64(salt_by), F.col("__salts"))).otherwise(F.lit(0)).cast("int")).drop("__salts")
+    copies = F.when(F.col(count) > cutoff, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    right = right.withColumn("__salt", F.explode(copies))
+    return left.join(hinted(right), [*keys, "__salt"], how).drop("__salt")
 
 
 def add_columns(df: DataFrame, column: str, fields: Sequence[tuple[str, T.DataType]], make: Callable[[], Callable[[list], list[list]]], keep: Sequence[str] | None = None) -> DataFrame:

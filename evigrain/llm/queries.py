@@ -76,7 +76,7 @@ ORACLE: dict[str, str] = {
         WITH d AS (SELECT doc_id, {_AZ} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id,
                count(*) OVER (PARTITION BY t) AS group_size,
-               doc_id = max(doc_id) OVER (PARTITION BY t) AS kept,
+               doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY t) AS kept,
                sha256(t) AS text_sha256
         FROM d""",
 }

@@ -88,16 +88,17 @@ def scratch_dir(spark: SparkSession) -> str:
 _TRACKED: list[list[tuple[SparkSession, str]]] = []
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, tracked: bool = True) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder, read it back.
 
     Later stages read files that every executor sees, so a lost executor costs
-    no recomputation of what came before.
+    no recomputation of what came before. Only a ``tracked`` one is deleted by
+    :func:`cleared`.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/evigrain-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _TRACKED:
+    if _TRACKED and tracked:
         _TRACKED[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -134,6 +135,11 @@ def fingerprint(text: Column) -> Column:
     return F.xxhash64(text_or_empty(text))
 
 
+def sampled(by: Column, share: float) -> Column:
+    """Whether a row is in a sample of this share, by 63 bits of a hash of ``by``, so that any share of any corpus is met."""
+    return F.lit(True) if share >= 1 else F.xxhash64(by).bitwiseAND(F.lit((1 << 63) - 1)) < min(int(share * (1 << 63)), (1 << 63) - 1)
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, salt_by: Column, *, total: int | None = None, share: int = 500, least: int = 1000, how: str = "inner", shuffled: bool = False) -> DataFrame:
     """Join (inner or left) of many rows to one row per key that stays even under hot keys.
 

@@ -21,18 +21,19 @@ gives way to it.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, map_arrow, runs, text_or_empty
+from .common import add_columns, map_arrow, runs, sampled, text_or_empty
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A character of Unicode category L.
+LETTER = regex.compile(r"\p{L}")
 SIZES = (2, 3, 4)
 BUCKET_BITS = 16
 #: Bytes scored in one go.
@@ -75,17 +76,17 @@ def text_counts(text: str, into: np.ndarray) -> None:
             into += np.bincount(buckets_of(part, size), minlength=len(into))
 
 
-def train(docs: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id", max_train_docs: int = 20_000, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id", max_train_docs: int = 20_000, max_labels: int = 256, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
     """(Languages, log-probability matrix) from the labelled rows of ``docs``.
 
-    A label that is null isn't learned from. Priors are equal: what share of a
-    corpus a language has says nothing about one text.
+    A label that is null isn't learned from. More than ``max_labels`` labels
+    are refused, as the matrix that is broadcast grows with them. Priors are
+    equal: what share of a corpus a language has says nothing about one text.
     """
     labelled = docs.where(F.col(label).isNotNull()).select(F.col(key).alias("__key"), text_or_empty(F.col(text)).alias("__text"), F.col(label).cast("string").alias("__label"))
     total = labelled.count()
     if total > max_train_docs:
-        share = int(max_train_docs / total * 1_000_000)
-        labelled = labelled.where(F.pmod(F.xxhash64("__key"), F.lit(1_000_000)) < share)
+        labelled = labelled.where(sampled(F.col("__key"), max_train_docs / total))
     width = 1 << BUCKET_BITS
     schema = "label string, bucket int, n long"
 
@@ -101,12 +102,15 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang", key: str
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["label", "bucket", "n"])
 
-    counted = map_arrow(labelled.select("__text", "__label"), count, schema).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(counted["label"].unique())
+    names = sorted(r[0] for r in labelled.select("__label").distinct().limit(max_labels + 1).collect())
+    if len(names) > max_labels:
+        raise ValueError(f"{label} has over {max_labels} values")
+    counted = map_arrow(labelled.select("__text", "__label"), count, schema).groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     matrix = np.full((width, len(names)), smoothing)
-    for i, name in enumerate(names):
-        own = counted[counted["label"] == name]
-        matrix[own["bucket"].to_numpy(), i] += own["n"].to_numpy()
+    # one row a language with all its buckets
+    for r in counted.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("all")).toLocalIterator():
+        at = np.array(r["all"], np.int64).reshape(-1, 2)
+        matrix[at[:, 0], names.index(r["label"])] += at[:, 1]
     return names, np.log(matrix / matrix.sum(0)).astype(np.float32)
 
 

@@ -1,76 +1,3 @@
-"""A training corpus in five stages, each on all that the one before kept.
+"""The training-data pipeline, for the check tool: its stages are in the package."""
 
-Language ID drops what has no language; exact dedup keeps one of equal texts;
-near-dedup keeps one document of each group; substring dedup cuts repeated
-passages out of all documents but the first that has them; packing places what
-is left in token-budget batches. Each stage's rows are written as Parquet in
-the shared folder and read again by the next.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from evigrain.llm import op01_exact_dedup, op02_packing, op03_langid, op07_substring, op10_minhash
-from evigrain.llm.common import written
-from evigrain.session import ship_package
-
-#: A document goes if no language reaches this posterior.
-LEAST_SCORE = 0.5
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was found; ``und`` and undecided ones go."""
-    model = op03_langid.train(docs.where(~op03_langid.held_out(F.col("doc_id"))))
-    told = op03_langid.predict(docs, model, keep=docs.columns, label="__lang", score_name="__score")
-    return told.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
-
-
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
-    found = op01_exact_dedup.exact_dedup(docs)
-    return without_ids(docs, found)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near copies, the row with the smallest doc_id stays."""
-    return without_ids(docs, op10_minhash.near_dedup(docs))
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut; every document stays."""
-    return op07_substring.cut_passages(docs, written(op07_substring.duplicate_passages(docs), "passages"))
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A place in a batch for every document."""
-    return op02_packing.pack(docs)
-
-
-def without_ids(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id ``found`` doesn't name as not kept."""
-    gone = written(found.where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("exact_dedup", exact_dedup),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("packing", packing),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``."""
-    ship_package(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return docs
-
-
-#: SQL can't express language ID, the sketches or the packing.
-ORACLE_SQL = None
+from evigrain.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401

@@ -14,10 +14,11 @@ deletions and substitutions turn one into the other.
   is shuffled of a line is its keys and not its rows. Of the classes left, lines
   are fetched and letters counted. An edit changes the counts of letters by two
   at most, so a pair whose counts of :data:`COUNTED` letters differ by more than
-  twice the threshold isn't joined. Lines of the other pairs are sifted by the
-  JVM's own banded table, which stops early; for what is left the edit distance
-  is found by the bit-parallel recurrence over a band of diagonals, one machine
-  word a character (:func:`banded_distance`).
+  twice the threshold isn't joined. A key with many lines is dealt over blocks:
+  each line goes to one, its probes to all. The other pairs are decided by the
+  bit-parallel recurrence over a band of diagonals, one machine word a
+  character, that does no more once the whole band is over the threshold
+  (:func:`banded_distance`).
 
 Result: one row per line: ``key``, line_no (from 0), class_doc_id (the least id
 of a document with that very line), n_copies, n_links (different lines within
@@ -40,6 +41,8 @@ from .common import salted_join, text_or_empty, written
 CLASS = ["__h1", "__h2"]
 #: Letters that are common in most languages of the Latin script.
 COUNTED = "etaoinrshdlu"
+#: Lines of a key that meet in one block.
+BLOCK = 500
 
 
 def places(max_edits: int) -> list[tuple[int, int, int]]:
@@ -76,6 +79,8 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
     One word holds the vertical differences of 2 * most + 1 cells around the
     diagonal; a character of ``b`` moves the band down by one. The value at the
     band's lower edge is followed down to the last row, then along that row.
+    Neighbouring cells differ by one at most, so once that value is over
+    3 * most every cell is over ``most``, and the other characters are skipped.
     """
     width = 2 * most + 1
     full = (1 << width) - 1
@@ -112,7 +117,7 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
     start = F.struct(F.lit(full ^ ((1 << most) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(most).alias("dist"))
     walk = _let(
         F.struct(x.alias("x"), y.alias("y"), (n - most).alias("edge")),
-        lambda s: F.aggregate(F.sequence(F.lit(0), F.size(s["y"]) - 1), start, lambda acc, i: step(acc, i, s["x"], s["y"], s["edge"]), lambda acc: F.least(acc["dist"], F.lit(most + 1))),
+        lambda s: F.aggregate(F.sequence(F.lit(0), F.size(s["y"]) - 1), start, lambda acc, i: F.when((acc["dist"] > 3 * most) & (i < s["edge"]), acc).otherwise(step(acc, i, s["x"], s["y"], s["edge"])), lambda acc: F.least(acc["dist"], F.lit(most + 1))),
     )
     return F.when(F.abs(n - m) > most, F.lit(most + 1)).when(a == b, F.lit(0)).when(F.least(n, m) <= most, F.least(F.levenshtein(a, b), F.lit(most + 1))).otherwise(walk)
 
@@ -161,7 +166,7 @@ def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", max_
     # few keys are shared; only their rows go on, with their classes' ids and letter counts
     indexed = F.col("__i") <= max_edits
     shared = written(keyed.select("__key", indexed.alias("__indexed")).groupBy("__key").agg(F.count("*").alias("__n"), F.max("__indexed").alias("__indexed")).where("__n > 1 and __indexed").select("__key", "__n"), "keys")
-    live = written(salted_join(keyed, shared, ["__key"], "__n", F.col("__h1"), shuffled=True).select("__key", indexed.alias("__indexed"), *CLASS, "class_doc_id"), "live")
+    live = written(salted_join(keyed, shared, ["__key"], "__n", F.col("__h1"), shuffled=True).select("__key", indexed.alias("__indexed"), *CLASS, "class_doc_id", F.col("__n").alias("__lines")), "live")
     ends = written(live.groupBy(*CLASS).agg(F.first("class_doc_id").alias("__doc"), F.count("*").alias("__n")), "ends")
     ids = written(ends.select("__doc").distinct(), "ids")
     holders = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(ids, F.col("__id").eqNullSafe(F.col("__doc")), "left_semi")
@@ -171,22 +176,23 @@ def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", max_
     letters = counted(F.col("__line"))
     texts = written(texts.withColumns({"__c": letters[0], "__d": letters[1]}), "lines")
     marked = written(salted_join(live.drop("class_doc_id"), texts.drop("__line"), CLASS, "__n", F.col("__key")), "marked")
-    sides = {s: marked.select("__key", "__indexed", *(F.col(c).alias(f"{s}{n}") for c, n in (("__h1", "1"), ("__h2", "2"), ("__c", "_c"), ("__d", "_d")))) for s in "ab"}
-    left, right = sides["a"].where("__indexed").drop("__indexed"), sides["b"].withColumnRenamed("__indexed", "b_indexed")
+    sides = {s: marked.select("__key", "__indexed", "__lines", *(F.col(c).alias(f"{s}{n}") for c, n in (("__h1", "1"), ("__h2", "2"), ("__c", "_c"), ("__d", "_d")))) for s in "ab"}
+    # a key's index rows are dealt over blocks, its probes go to each
+    blocks = F.ceil(F.col("__lines") / BLOCK).cast("int")
+    left = sides["a"].where("__indexed").withColumn("__block", F.pmod(F.xxhash64("a1"), blocks).cast("int")).drop("__indexed", "__lines")
+    right = sides["b"].withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumnRenamed("__indexed", "b_indexed").drop("__lines")
     differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
     swap = (F.col("a1") > F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") > F.col("b2")))
     # two index rows of a key meet in both orders, of which one will do
     once = ~F.col("b_indexed") | ~swap
-    met = left.join(right, "__key").where(differ & once & (apart(F.col("a_c"), F.col("b_c")) + apart(F.col("a_d"), F.col("b_d")) <= 2 * max_edits))
+    met = left.join(right, ["__key", "__block"]).where(differ & once & (apart(F.col("a_c"), F.col("b_c")) + apart(F.col("a_d"), F.col("b_d")) <= 2 * max_edits))
     ordered = [F.when(swap, F.col(f"{o}{n}")).otherwise(F.col(f"{s}{n}")).alias(f"{s}{n}") for s, o in ("ab", "ba") for n in "12"]
     judged = pairs = written(met.select(*ordered).dropDuplicates(), "pairs")
     for s in "ab":
         count = pairs.groupBy(f"{s}1", f"{s}2").agg(F.count("*").alias("__n"))
         own = texts.select(F.col("__h1").alias(f"{s}1"), F.col("__h2").alias(f"{s}2"), F.col("__line").alias(f"{s}_line")).join(count, [f"{s}1", f"{s}2"])
         judged = salted_join(judged, own, [f"{s}1", f"{s}2"], "__n", F.struct("a1", "b1")).drop("__n")
-    # SQL's fold over characters can't stop early, the JVM's banded table can: it sifts, the recurrence decides
-    sifted = written(judged.where(F.levenshtein("a_line", "b_line", max_edits) >= 0), "sifted")
-    near = written(sifted.where(banded_distance(F.col("a_line"), F.col("b_line"), max_edits) <= max_edits).select("a1", "a2", "b1", "b2"), "near")
+    near = written(judged.where(banded_distance(F.col("a_line"), F.col("b_line"), max_edits) <= max_edits).select("a1", "a2", "b1", "b2"), "near")
     links = near.select(F.explode(F.array(*(F.struct(F.col(f"{s}1").alias("__h1"), F.col(f"{s}2").alias("__h2")) for s in "ab"))).alias("e")).select("e.*").groupBy(*CLASS).agg(F.count("*").alias("n_links"))
     links = written(links, "links")
     special = written(classes.drop("__keys").join(links, CLASS, "left").where("n_copies > 1 or n_links is not null"), "special")

@@ -479,6 +479,51 @@ def test_near_dedup(spark):
     assert op10_minhash.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_by_brute_force(spark):
+    """A crowd around the threshold, repeated and null ids, against all pairs; common shingles by any partitions."""
+    rnd, words = corpus(0, 22)
+    base, texts = words(100), []
+    for _ in range(150):
+        edited = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            edited[rnd.randrange(100)] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(edited + edited[:6] * rnd.randint(0, 2)))
+    texts += [" ".join(words(rnd.randint(1, 60))) for _ in range(50)]
+    rows = [(k % 190, t) for k, t in enumerate(texts)] + [(None, texts[0]), (None, "a b c d e"), (500, texts[3]), (500, texts[3]), (600, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def bag(t):
+        w = t.split()
+        return [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
+
+    bags = [bag(t) if t else [] for _, t in rows]
+    df = {}
+    for x in bags:
+        for g in set(x):
+            df[g] = df.get(g, 0) + 1
+    weights = [{g: x.count(g) * (1 + math.log(1 / max(df[g] / len(rows), 0.01))) for g in set(x)} for x in bags]
+    label = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        keys = set(weights[i]) | set(weights[j])
+        low, high = (sum(f(weights[i].get(g, 0), weights[j].get(g, 0)) for g in keys) for f in (min, max))
+        if high and low >= 0.8 * high and label[i] != label[j]:
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    want = {}
+    for k, (i, _) in enumerate(rows):
+        want.setdefault(label[k], []).append(i)
+    for parts in (1, 5):
+        got = {}
+        for r in op10_minhash.near_dedup(docs.repartition(parts)).collect():
+            got.setdefault((r.class_id, r.group_size) if r.group_size > 1 else (r.doc_id, r.text_hash), []).append((r.doc_id, r.kept))
+            assert r.group_size > 1 or r.kept
+        order = lambda x: sorted(x, key=str)
+        assert order(order(i for i, _ in g) for g in got.values()) == order(map(order, want.values()))
+        assert all(sum(k for _, k in set(g)) == 1 for g in got.values())
+        common, n, documents = op10_minhash.document_frequencies(docs.repartition(parts), "text", 0.1)
+        assert documents == len(rows) and sorted(n.tolist()) == sorted(v for v in df.values() if v >= 0.1 * len(rows))
+
+
 def test_samples_estimate_similarity():
     from evigrain.llm.shingles import mix
 

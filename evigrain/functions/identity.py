@@ -58,11 +58,6 @@ def url_key(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"[?#].*$", ""), r"/+$", "")
 
 
-def is_thesis(kind: Column, title: Column) -> Column:
-    """A thesis by its type, or by what its title says."""
-    return F.coalesce(F.lower(kind).isin("dissertation", "thesis"), F.lit(False)) | F.coalesce(F.lower(title).rlike(r"\bdoctoral thesis\b|\bphd thesis\b|\bmaster'?s thesis\b"), F.lit(False))
-
-
 def metadata_level(title: Column, abstract: Column, authors: Column, year: Column) -> Column:
     """How much of a record's metadata there is."""
 

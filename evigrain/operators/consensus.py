@@ -57,10 +57,13 @@ def topic_consensus(claims: DataFrame, by: Sequence[str] = ("topic",)) -> DataFr
 
 
 def stratified_consensus(claims: DataFrame, stratum: str = "stratum") -> DataFrame:
-    """Consensus of each topic as a whole (stratum null) and of each of its strata, in one pass over the claims."""
-    both = claims.withColumn("__s", F.explode(F.array(F.col(stratum).cast("string"), F.lit("__all"))))
-    out = topic_consensus(both, ("topic", "__s"))
-    return out.withColumn("stratum", F.nullif(F.col("__s"), F.lit("__all"))).drop("__s")
+    """Consensus of each topic as a whole (``overall``, stratum null) and of each of its strata, in one pass over the claims.
+
+    Claims without a stratum are a stratum of their own, null but not overall.
+    """
+    sets = F.array(F.struct(F.col(stratum).cast("string").alias("s"), F.lit(False).alias("all")), F.struct(F.lit(None).cast("string").alias("s"), F.lit(True).alias("all")))
+    both = claims.withColumn("__set", F.explode(sets)).withColumns({"__s": F.col("__set.s"), "overall": F.col("__set.all")}).drop("__set")
+    return topic_consensus(both, ("topic", "__s", "overall")).withColumnRenamed("__s", "stratum")
 
 
 def exclusions(claims: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ def frozen(records: DataFrame, keys: Sequence[Column], ordinal: str) -> DataFram
     not by sorting a key's rows.
     """
     named = records.withColumn("__key", F.coalesce(*(F.concat(F.lit(f"{i}:"), k.cast("string")) for i, k in enumerate(keys))))
-    first = named.where("__key is not null").groupBy("__key").agg(F.min(ordinal).alias(ordinal), F.count("*").alias("copies")).drop("__key")
-    kept = named.join(first, ordinal, "left")
-    return kept.where(F.col("__key").isNull() | F.col("copies").isNotNull()).withColumn("copies", F.coalesce("copies", F.lit(1))).drop("__key")
+    row = F.struct(*records.columns)
+    kept = named.where("__key is not null").groupBy("__key").agg(F.min_by(row, ordinal).alias("__row"), F.count("*").alias("copies")).select("__row.*", "copies")
+    return kept.unionByName(named.where("__key is null").drop("__key").withColumn("copies", F.lit(1).cast("long")))
 
 
 def contributions(records: DataFrame, key: Column, source: str) -> DataFrame:
@@ -29,8 +29,8 @@ def contributions(records: DataFrame, key: Column, source: str) -> DataFrame:
 
 
 def conflicts(records: DataFrame, key: Column, field: str) -> DataFrame:
-    """Keys whose rows disagree in a field: how many rows and values, the least and the greatest value."""
-    out = records.groupBy(key.alias("record_key")).agg(F.count("*").alias("rows"), F.count_distinct(field).alias("n_values"), F.min(field).alias("least"), F.max(field).alias("greatest"))
+    """Keys whose rows disagree in a field: how many rows and values, the least and the greatest value. Rows without a key stand alone."""
+    out = records.where(key.isNotNull()).groupBy(key.alias("record_key")).agg(F.count("*").alias("rows"), F.count_distinct(field).alias("n_values"), F.min(field).alias("least"), F.max(field).alias("greatest"))
     return out.where("n_values > 1")
 
 

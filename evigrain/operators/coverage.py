@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.evidence import coverage_status
@@ -40,11 +42,49 @@ def by_source(ledger: DataFrame) -> DataFrame:
     )
 
 
-def gate(ledger: DataFrame) -> DataFrame:
-    """One row: REJECT if a planned query wasn't searched, PASS_WITH_UNKNOWNS if coverage is unknown somewhere, else PASS."""
-    return ledger.agg(
-        F.count("*").alias("queries"),
-        F.count_if(F.col("execution_status") == "NOT_SEARCHED").alias("not_searched"),
-        F.count_if(F.col("coverage") == "UNKNOWN").alias("unknown"),
-        F.when(F.count_if(F.col("execution_status") == "NOT_SEARCHED") > 0, "REJECT").when(F.count_if(F.col("coverage") == "UNKNOWN") > 0, "PASS_WITH_UNKNOWNS").otherwise("PASS").alias("verdict"),
-    )
+#: Executions that found no access, executions that claim an attempt, and databases by name.
+ACCESS_FAILURES = ["AUTH_REQUIRED", "BOT_BLOCKED", "RATE_LIMITED", "TEMPORARILY_UNAVAILABLE", "NOT_SEARCHED", "USER_ASSISTED_REQUIRED", "JS_BROWSER_REQUIRED"]
+ATTEMPTED = ["SEARCHED_COMPLETE", "SEARCHED_WITH_ERRORS"]
+DATABASES = ["cnki", "wanfang", "vip", "web of science", "scopus", "openalex"]
+
+
+def gate(ledger: DataFrame, *, frozen: bool, planned: DataFrame | None = None) -> DataFrame:
+    """One row: six checks of a search ledger, each PASS, FAIL or UNKNOWN, and the verdict.
+
+    ``ledger`` has source_id (a name), execution_status, reported_hits,
+    retrieved, pagination and notes; ``planned`` has the source_id that were to
+    be searched, if that was declared. A failure rejects; what can't be decided
+    bars an unqualified pass.
+    """
+    status, hits, got = F.col("execution_status"), F.col("reported_hits"), F.col("retrieved")
+    source, notes = F.lower(F.coalesce(F.col("source_id").cast("string"), F.lit(""))), F.lower(F.coalesce("notes", F.lit("")))
+    no_attempt = status.isin(ATTEMPTED) & got.isNull() & hits.isNull()
+    borrowed = functools.reduce(lambda x, y: x | y, (~source.contains(d) & notes.contains(d) for d in DATABASES)) & (status == "SEARCHED_COMPLETE")
+    faults = {
+        "access_failure_as_zero": status.isin(ACCESS_FAILURES) & (hits == 0),
+        "substituted": no_attempt | borrowed,
+        "no_pagination": F.coalesce(F.col("pagination"), F.lit("")) == "",
+        "over_hits": hits.isNotNull() & (got.isNull() | (got > hits)),
+    }
+    counts = ledger.agg(F.count(hits).alias("__with_hits"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in faults.items()))
+    if planned is None:
+        missing = counts.select(F.lit(None).cast("long").alias("missing"))
+    else:
+        done = ledger.select(source.alias("__s")).distinct()
+        missing = planned.select(F.lower(F.col("source_id").cast("string")).alias("__s")).distinct().join(done, "__s", "left_anti").agg(F.count("*").alias("missing"))
+
+    def told(bad: Column, unknown: Column = F.lit(False)) -> Column:
+        return F.when(unknown, "UNKNOWN").when(bad, "FAIL").otherwise("PASS")
+
+    checks = {
+        "no_access_failure_as_zero": told(F.col("access_failure_as_zero") > 0),
+        "no_cross_source_substitution": told(F.col("substituted") > 0),
+        "pagination_recorded": told(F.col("no_pagination") > 0),
+        "hit_reconciliation_valid": told(F.col("over_hits") > 0, F.col("__with_hits") == 0),
+        "planned_sources_accounted": told(F.col("missing") > 0, F.col("missing").isNull()),
+        "corpus_frozen": told(F.lit(not frozen)),
+    }
+    # both sides have one row
+    row = counts.join(F.broadcast(missing), F.lit(True)).select(*(c.alias(n) for n, c in checks.items()))
+    states = F.array(*checks)
+    return row.withColumn("verdict", F.when(F.array_contains(states, "FAIL"), "REJECT").when(F.array_contains(states, "UNKNOWN"), "PASS_WITH_UNKNOWNS").otherwise("PASS"))

@@ -128,16 +128,33 @@ def last_before(rows: DataFrame, by: Sequence[str], order: Sequence[str], mark:
     return carried.withColumn(name, F.coalesce(F.last("__v", ignorenulls=True).over(w), F.col("__carried"))).drop("__v", "__slice", "__carried")
 
 
-def resolve(facts: DataFrame, by: str, priority: Column, value: str, ties: Sequence[str]) -> DataFrame:
-    """The value of the strongest layer per dimension, and whether that layer's values differ."""
-    top = facts.withColumn("__p", priority)
-    best = top.groupBy(by).agg(F.max("__p").alias("__best"))
-    level = top.join(best, by).where(F.col("__p") == F.col("__best"))
-    return level.groupBy(by).agg(
-        F.max_by(value, F.struct(*ties)).alias("value"),
-        F.max("__p").alias("priority"),
-        F.count_distinct(F.lower(F.trim(F.col(value).cast("string")))).alias("n_values"),
-    ).withColumn("conflict", F.col("n_values") > 1)
+def resolve(facts: DataFrame, by: str, priority: Column, value: str, *, volatile: Column, time: str, confidence: str) -> DataFrame:
+    """The value of the strongest layer per dimension, or null and UNRESOLVED_CONFLICT.
+
+    Values that differ there beyond case and outer blanks are a conflict, but
+    if all facts are volatile and dated the newest wins, if no other value is
+    as new; else a fact with strictly more confidence than all others does. An
+    undated fact has no ``time``. Three aggregations that combine before their
+    shuffles, and a join of one row per dimension.
+    """
+    said = facts.select(by, priority.alias("__p"), F.lower(F.trim(F.col(value).cast("string"))).alias("__said"), F.col(value).alias("__v"), (volatile & F.col(time).isNotNull()).alias("__live"), F.col(time).alias("__t"), F.col(confidence).alias("__c"))
+    values = said.groupBy(by, "__p", "__said").agg(F.min("__v").alias("__v"), F.bool_and("__live").alias("__live"))
+    level = values.groupBy(by, "__p").agg(F.count("*").alias("n_values"), F.min("__v").alias("__v"), F.bool_and("__live").alias("__live"))
+    best = level.groupBy(by).agg(F.max_by(F.struct("__p", "n_values", "__v", "__live"), "__p").alias("b"))
+
+    def strongest(order: str, what: Column, name: str) -> DataFrame:
+        each = said.where(F.col(order).isNotNull()).groupBy(by, "__p", order).agg(what.alias("__n"), F.max_by("__v", F.struct("__c", "__v")).alias("__v"))
+        return each.groupBy(by).agg(F.max_by(F.struct("__p", "__n", "__v"), F.struct("__p", order)).alias(name))
+
+    newest = strongest("__t", F.count_distinct("__said"), "t")
+    surest = strongest("__c", F.count("*"), "c")
+    joined = best.join(newest, by, "left").join(surest, by, "left")
+    conflict = F.col("b.n_values") > 1
+    # the two tables may know other layers than the top one, where that has no time or confidence
+    by_time = F.when((F.col("t.__p") == F.col("b.__p")) & (F.col("t.__n") == 1), F.col("t.__v"))
+    by_trust = F.when((F.col("c.__p") == F.col("b.__p")) & (F.col("c.__n") == 1), F.col("c.__v"))
+    won = F.when(~conflict, F.col("b.__v")).when(F.col("b.__live"), by_time).otherwise(by_trust)
+    return joined.select(by, won.alias("value"), F.col("b.__p").alias("priority"), F.col("b.n_values").alias("n_values"), F.when(conflict & won.isNull(), "UNRESOLVED_CONFLICT").otherwise("RESOLVED").alias("status"))
 
 
 def top_k(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -159,10 +176,28 @@ def shifts(clusters: DataFrame, by: Sequence[str], start: str, name: str) -> Dat
 
 
 def tolerance_clusters(values: DataFrame, by: Sequence[str], value: str, tolerance: float, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Runs of sorted values in which no step exceeds ``tolerance``: count, least, greatest."""
-    # equal values are one step, so each counts once and carries its number
+    """Sorted values in clusters: one joins if it is within ``tolerance`` of the mean of those before it in the cluster.
+
+    A step over ``tolerance`` always begins a cluster, as the mean is below the
+    last value; so keys are cut into such runs in a distributed way first, and
+    only the distinct values of one run are folded in order.
+    """
+    # equal values join together, so each counts once and carries its number
     counted = values.groupBy(*by, value).agg(F.count("*").alias("__rows"))
     beside = _beside(sliced(counted, value, slice_rows), by, [value], value)
     marked = beside.withColumn("__n", F.when(F.col(value) - F.col("__back") > tolerance, 1).otherwise(0))
-    placed = _sum_before(marked, by, [value], "__n", "cluster", ties=True)
-    return placed.groupBy(*by, "cluster").agg(F.sum("__rows").alias("members"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    placed = _sum_before(marked, by, [value], "__n", "__run", ties=True)
+    run = placed.groupBy(*by, "__run").agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col("__rows").alias("n")))).alias("__all"))
+
+    def fresh(x: Column) -> Column:
+        return F.struct(x["v"].alias("centre"), x["n"].alias("members"), x["v"].alias("least"), x["v"].alias("greatest"))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        members = last["members"] + x["n"]
+        grown = F.struct(((last["centre"] * last["members"] + x["v"] * x["n"]) / members).alias("centre"), members.alias("members"), last["least"].alias("least"), x["v"].alias("greatest"))
+        return F.when(x["v"] - last["centre"] <= tolerance, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh(x))))
+
+    rest = F.slice("__all", 2, F.size("__all"))
+    folded = run.select(*by, F.explode(F.aggregate(rest, F.array(fresh(F.element_at("__all", 1))), step)).alias("c"))
+    return folded.select(*by, F.col("c.members").alias("members"), F.col("c.least").alias("least"), F.col("c.greatest").alias("greatest"))

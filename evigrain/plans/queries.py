@@ -66,10 +66,10 @@ def topic_consensus(spark, sf_dir):
     return consensus.topic_consensus(claims(spark, sf_dir))
 
 
-@query(f"""WITH {CLAIMS}, b AS (SELECT *, CAST(hour // 12 AS VARCHAR) AS stratum FROM claims UNION ALL SELECT *, NULL AS stratum FROM claims),
-    {_consensus_sql('topic, stratum', 'b')}""")
+@query(f"""WITH {CLAIMS}, b AS (SELECT *, CASE WHEN hour < 20 THEN CAST(hour // 12 AS VARCHAR) END AS stratum, false AS overall FROM claims UNION ALL SELECT *, NULL AS stratum, true AS overall FROM claims),
+    {_consensus_sql('topic, stratum, overall', 'b')}""")
 def topic_stratum_consensus(spark, sf_dir):
-    return consensus.stratified_consensus(claims(spark, sf_dir).withColumn("stratum", F.floor(F.col("hour") / 12)))
+    return consensus.stratified_consensus(claims(spark, sf_dir).withColumn("stratum", F.when(F.col("hour") < 20, F.floor(F.col("hour") / 12))))
 
 
 @query(f"""WITH {CLAIMS} SELECT reason, count(*) AS claims FROM (
@@ -192,10 +192,30 @@ def source_rollup(spark, sf_dir):
     return coverage.by_source(coverage.reconcile(plan(spark, sf_dir), executions(spark, sf_dir)))
 
 
-@query(f"""WITH {LEDGER} SELECT count(*) AS queries, count(*) FILTER (execution_status = 'NOT_SEARCHED') AS not_searched, count(*) FILTER (coverage = 'UNKNOWN') AS unknown,
-    CASE WHEN count(*) FILTER (execution_status = 'NOT_SEARCHED') > 0 THEN 'REJECT' WHEN count(*) FILTER (coverage = 'UNKNOWN') > 0 THEN 'PASS_WITH_UNKNOWNS' ELSE 'PASS' END AS verdict FROM led""")
+NOTED = """e AS (SELECT n_name AS source_id, o.* EXCLUDE (o_custkey), 'export of ' || n_name || CASE WHEN o_custkey % 1000 = 999 THEN ' by Scopus' ELSE '' END AS notes
+    FROM (SELECT o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'RATE_LIMITED' WHEN o_orderstatus = 'F' THEN 'SEARCHED_COMPLETE' ELSE 'SEARCHED_WITH_ERRORS' END AS execution_status,
+        CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 90 END AS reported_hits, o_orderkey % 90 - o_orderkey % 7 AS retrieved, o_orderpriority AS pagination FROM orders) o JOIN nation ON n_nationkey = o_custkey % 24)"""
+
+
+@query(f"""WITH {NOTED}, c AS (SELECT count(*) FILTER (execution_status = 'RATE_LIMITED' AND reported_hits = 0) AS z, count(*) FILTER (execution_status = 'SEARCHED_COMPLETE' AND contains(notes, 'Scopus')) AS s,
+        count(*) FILTER (coalesce(pagination, '') = '') AS g, count(*) FILTER (reported_hits IS NOT NULL AND retrieved > reported_hits) AS h, count(reported_hits) AS w,
+        (SELECT count(*) FROM nation WHERE n_name NOT IN (SELECT source_id FROM e)) AS m FROM e),
+    k AS (SELECT CASE WHEN z > 0 THEN 'FAIL' ELSE 'PASS' END AS no_access_failure_as_zero, CASE WHEN s > 0 THEN 'FAIL' ELSE 'PASS' END AS no_cross_source_substitution, CASE WHEN g > 0 THEN 'FAIL' ELSE 'PASS' END AS pagination_recorded,
+        CASE WHEN w = 0 THEN 'UNKNOWN' WHEN h > 0 THEN 'FAIL' ELSE 'PASS' END AS hit_reconciliation_valid, CASE WHEN m > 0 THEN 'FAIL' ELSE 'PASS' END AS planned_sources_accounted, 'PASS' AS corpus_frozen FROM c)
+    SELECT *, CASE WHEN 'FAIL' IN (no_access_failure_as_zero, no_cross_source_substitution, pagination_recorded, hit_reconciliation_valid, planned_sources_accounted) THEN 'REJECT' WHEN hit_reconciliation_valid = 'UNKNOWN' THEN 'PASS_WITH_UNKNOWNS' ELSE 'PASS' END AS verdict FROM k""")
 def coverage_gate(spark, sf_dir):
-    return coverage.gate(coverage.reconcile(plan(spark, sf_dir), executions(spark, sf_dir)))
+    o, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("source_id"))
+    status = F.when(F.col("o_orderstatus") == "P", "RATE_LIMITED").when(F.col("o_orderstatus") == "F", "SEARCHED_COMPLETE").otherwise("SEARCHED_WITH_ERRORS")
+    key = F.col("o_orderkey")
+    ledger = o.join(n, F.col("o_custkey") % 24 == F.col("n_nationkey")).select(
+        "source_id",
+        status.alias("execution_status"),
+        F.when(F.col("o_orderstatus") != "P", key % 90).alias("reported_hits"),
+        (key % 90 - key % 7).alias("retrieved"),
+        F.col("o_orderpriority").alias("pagination"),
+        F.concat(F.lit("export of "), "source_id", F.when(F.col("o_custkey") % 1000 == 999, " by Scopus").otherwise("")).alias("notes"),
+    )
+    return coverage.gate(ledger, frozen=True, planned=n.select("source_id"))
 
 
 KEYED = "regexp_replace(lower(text), '[^a-z0-9一-龥]', '', 'g')"
@@ -214,9 +234,9 @@ def source_contribution(spark, sf_dir):
     return corpus.contributions(table(spark, sf_dir, "documents"), F.md5(identity.title_key(F.col("text")).cast("binary")), "source")
 
 
-@query(f"""SELECT md5({KEYED}) AS record_key, count(*) AS rows, count(DISTINCT source) AS n_values, min(source) AS least, max(source) AS greatest FROM documents GROUP BY {KEYED} HAVING count(DISTINCT source) > 1""")
+@query(f"""SELECT md5({KEYED}) AS record_key, count(*) AS rows, count(DISTINCT source) AS n_values, min(source) AS least, max(source) AS greatest FROM documents WHERE {KEYED} <> '' GROUP BY {KEYED} HAVING count(DISTINCT source) > 1""")
 def metadata_conflicts(spark, sf_dir):
-    return corpus.conflicts(table(spark, sf_dir, "documents"), F.md5(F.coalesce(identity.title_key(F.col("text")), F.lit("")).cast("binary")), "source")
+    return corpus.conflicts(table(spark, sf_dir, "documents"), F.md5(F.nullif(identity.title_key(F.col("text")), F.lit("")).cast("binary")), "source")
 
 
 @query("""SELECT p_partkey, 'REC-' || left(sha256('title:' || regexp_replace(lower(trim(p_name)), '[^\\w\\s]', '', 'g') || '|year:' || p_size || '|author:' || lower(trim(p_brand))), 12) AS record_id FROM part""")
@@ -303,11 +323,17 @@ def paradigm_shifts(spark, sf_dir):
 LAYER_OF = {"signup": 6, "purchase": 5, "click": 2, "view": 1, "error": 0}
 
 
-@query("""WITH f AS (SELECT user_id, value, ts, event_id, CASE event_type WHEN 'signup' THEN 6 WHEN 'purchase' THEN 5 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS p FROM events),
-    b AS (SELECT *, max(p) OVER (PARTITION BY user_id) AS best FROM f)
-    SELECT user_id, arg_max(value, struct_pack(ts, event_id)) AS value, max(p) AS priority, count(DISTINCT value) AS n_values, count(DISTINCT value) > 1 AS conflict FROM b WHERE p = best GROUP BY user_id""")
+@query("""WITH f AS (SELECT user_id, value, ts, CASE event_type WHEN 'signup' THEN 6 WHEN 'purchase' THEN 5 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS p,
+        event_id % 3 <> 0 AS live, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+    b AS (SELECT * FROM f QUALIFY p = max(p) OVER (PARTITION BY user_id)),
+    r AS (SELECT *, ts = max(ts) OVER u AS newest, k = max(k) OVER u AS surest FROM b WINDOW u AS (PARTITION BY user_id)),
+    g AS (SELECT user_id, max(p) AS priority, count(DISTINCT value) AS n_values, min(value) AS v, bool_and(live AND ts IS NOT NULL) AS live,
+        count(DISTINCT value) FILTER (newest) AS nt, max(value) FILTER (newest) AS tv, count(*) FILTER (surest) AS nc, max(value) FILTER (surest) AS cv FROM r GROUP BY user_id),
+    w AS (SELECT *, CASE WHEN n_values = 1 THEN v WHEN live THEN CASE WHEN nt = 1 THEN tv END WHEN nc = 1 THEN cv END AS value FROM g)
+    SELECT user_id, value, priority, n_values, CASE WHEN n_values > 1 AND value IS NULL THEN 'UNRESOLVED_CONFLICT' ELSE 'RESOLVED' END AS status FROM w""")
 def fact_resolution(spark, sf_dir):
-    return ordered.resolve(table(spark, sf_dir, "events"), "user_id", evidence.lookup(LAYER_OF, F.col("event_type")), "value", ["ts", "event_id"])
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return ordered.resolve(e, "user_id", evidence.lookup(LAYER_OF, F.col("event_type")), "value", volatile=F.col("event_id") % 3 != 0, time="ts", confidence="k")
 
 
 @query("""WITH i AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM events)
@@ -382,9 +408,11 @@ def quartiles(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*(F.round(F.percentile("l_quantity", p), 4).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))))
 
 
-@query("""WITH s AS (SELECT l_suppkey, l_extendedprice AS v, CASE WHEN l_extendedprice - lag(l_extendedprice) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) > 500 THEN 1 ELSE 0 END AS n FROM lineitem),
-    c AS (SELECT *, sum(n) OVER (PARTITION BY l_suppkey ORDER BY v) AS cluster FROM s)
-    SELECT l_suppkey, cluster::BIGINT AS cluster, count(*) AS members, min(v) AS least, max(v) AS greatest FROM c GROUP BY 1, 2""")
+@query("""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY v) AS i FROM (SELECT l_suppkey, l_extendedprice::DOUBLE AS v, count(*) AS n FROM lineitem GROUP BY 1, 2)),
+    w AS (SELECT l_suppkey, i, v AS centre, n AS size, 1 AS cluster, v, n FROM d WHERE i = 1
+        UNION ALL SELECT d.l_suppkey, d.i, CASE WHEN d.v - centre <= 500 THEN (centre * size + d.v * d.n) / (size + d.n) ELSE d.v END, CASE WHEN d.v - centre <= 500 THEN size + d.n ELSE d.n END,
+            CASE WHEN d.v - centre <= 500 THEN cluster ELSE cluster + 1 END, d.v, d.n FROM w JOIN d ON d.l_suppkey = w.l_suppkey AND d.i = w.i + 1)
+    SELECT l_suppkey, sum(n)::BIGINT AS members, min(v) AS least, max(v) AS greatest FROM w GROUP BY l_suppkey, cluster""")
 def tolerance_clusters(spark, sf_dir):
     return ordered.tolerance_clusters(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice"), ["l_suppkey"], "l_extendedprice", 500.0)
 

@@ -115,8 +115,8 @@ def has_replacement(*columns: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Parts between blank lines, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
+    """Parts between blank lines or form feeds, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, r"\n\s*\n|\f"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 
 
 def sentence_with(text: Column, needle: Column) -> Column:
@@ -142,7 +142,7 @@ def occurs(phrase: Column, source: Column) -> Column:
         return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[\u2010-\u2015\u2212]", "-"), r"\s+", " "))
 
     quoted = F.concat(F.lit(r"(?<![a-z0-9])\Q"), plain(phrase), F.lit(r"\E(?![a-z0-9])"))
-    return (plain(phrase) != "") & plain(source).rlike(quoted)
+    return (plain(phrase) != "") & F.regexp_like(plain(source), quoted)
 
 
 def source_risk(raw: Column, before: Column) -> Column:

@@ -29,6 +29,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -77,30 +78,25 @@ class Node:
 
 
 @functools.lru_cache(maxsize=4096)
-def themes_of(tag: str, attributes: str) -> int:
-    """A bit for each theme that the tag or its class, id or role speaks of."""
-    words = {tag}
-    for m in ATTRIBUTE.finditer(attributes):
-        words.update(TOKEN.findall(CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower()))
+def themes_in(tag: str, named: str) -> int:
+    """A bit for each theme that a tag or the words of its names speak of."""
+    words = {tag, *TOKEN.findall(CAMEL.sub(" ", named).lower())}
     return sum(1 << i for i, known in enumerate(THEMES.values()) if words & known)
 
 
+def themes_of(tag: str, attributes: str) -> int:
+    """Of the tag and its class, id and role, wherever they stand among its attributes."""
+    return themes_in(tag, " ".join(m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)))
+
+
+#: A tag from behind its <: quotes after = are closed before the >, if they are closed at all.
+TAG_REST = re.compile(r"""(?:[^>="']++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+>""")
+
+
 def tag_end(page: str, start: int) -> int:
     """Where the tag at ``start`` ends: its >, those in quotes aside."""
-    end = page.find(">", start)
-    seen = start
-    for _ in range(64):
-        if end < 0:
-            return -1
-        part = page[seen:end]
-        quote = next((q for q in ('"', "'") if part.count(q) % 2 and re.search(r"=\s*" + q, part)), None)
-        if quote is None:
-            return end
-        close = page.find(quote, end)
-        if close < 0:
-            return end
-        seen, end = close + 1, page.find(">", close)
-    return end
+    found = TAG_REST.match(page, start + 1)
+    return found.end() - 1 if found else -1
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -179,11 +175,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if other in WALLS and other not in ended:
                     break
             texts.append((-1, " "))
-        if len(stack) < 200:
-            parent = stack[-1]
-            nodes.append(Node(tag, parent, themes_of(tag, body[m.end() :][:1000]), nodes[parent].depth + 1, lt))
-            nodes[parent].children.append(len(nodes) - 1)
-            stack.append(len(nodes) - 1)
+        parent = stack[-1]
+        nodes.append(Node(tag, parent, themes_of(tag, body[m.end() :]), nodes[parent].depth + 1, lt))
+        nodes[parent].children.append(len(nodes) - 1)
+        stack.append(len(nodes) - 1)
     return own_texts(nodes, texts)
 
 
@@ -239,6 +234,9 @@ def features(nodes: list[Node], texts: list[tuple[int, str]], size: int) -> np.n
     rest = n_tags + 2 * n_themes
     themes = np.zeros((len(nodes), 2), np.int64)
     numbers = []
+    # where a node stands among its parent's children, and how many of them have its tag
+    place = {c: k for v in nodes for k, c in enumerate(v.children)}
+    alike = [Counter(nodes[c].tag for c in v.children) for v in nodes]
     for i in reversed(order):
         v = nodes[i]
         p = nodes[v.parent]
@@ -249,12 +247,7 @@ def features(nodes: list[Node], texts: list[tuple[int, str]], size: int) -> np.n
         if k is not None:
             out[i, k] = 1
         themes[i] = v.themes, above[i]
-        same = 0
-        index = 0
-        if i:
-            mates = p.children
-            index = mates.index(i) if len(mates) <= 64 else 64
-            same = sum(nodes[c].tag == v.tag for c in mates[:64])
+        index, same = (place[i], alike[v.parent][v.tag]) if i else (0, 0)
         chars = v.chars
         numbers.append((math.log1p(chars), math.log1p(v.words), v.linked / chars if chars else 0, v.punct / v.words if v.words else 0, chars / v.words if v.words else 0, v.depth, len(v.children), math.log1p(v.paragraphs), math.log1p(v.blocks), chars / (v.nodes + 1), index, len(p.children), same, chars / max(1, p.chars), chars / total, v.start / max(1, size)))
     bits = 1 << np.arange(n_themes)
@@ -267,7 +260,7 @@ def features(nodes: list[Node], texts: list[tuple[int, str]], size: int) -> np.n
 class Boosted:
     """Gradient-boosted trees for yes and no, grown by histograms of quantile bins."""
 
-    def __init__(self, trees: int = 50, depth: int = 4, rate: float = 0.25, bins: int = 32, least: float = 5.0):
+    def __init__(self, trees: int = 80, depth: int = 5, rate: float = 0.25, bins: int = 32, least: float = 5.0):
         self.trees, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
@@ -379,13 +372,13 @@ def sample_page(rnd: random.Random) -> str:
         return "".join(part(k) for k in rnd.sample(kinds, len(kinds)) if rnd.random() < share)
 
     tag, name = rnd.choice(CONTENT)
-    blocks = [rnd.choice(("<h1>{}</h1>", "<h2>{}</h2>")).format(prose(1, 10, "\x01"))] if rnd.random() < 0.9 else []
+    blocks = [rnd.choice(("<h1>{}</h1>", "<h2>{}</h2>")).format(prose(1, 10, "\x01"))] if rnd.random() < 0.6 else []
     for _ in range(rnd.randint(1, 12)):
         kind = rnd.random()
         if kind < 0.75:
             blocks.append(f"<p>{prose(*((1, 4) if rnd.random() < 0.2 else (8, 90)), '\x01')}" + ("</p>" if rnd.random() < 0.9 else ""))
         elif kind < 0.82:
-            blocks.append("<ul>" + "".join(f"<li>{prose(2, 15, '\x01')}</li>" for _ in range(rnd.randint(2, 5))) + "</ul>")
+            blocks.append("<ul>" + "".join(f"<li>{prose(2, 15, '\x01')}</li>" for _ in range(rnd.choice((2, 3, 5, 60)))) + "</ul>")
         elif kind < 0.88:
             blocks.append(f"<blockquote><p>{prose(5, 40, '\x01')}</p></blockquote>")
         elif kind < 0.92:
@@ -395,14 +388,20 @@ def sample_page(rnd: random.Random) -> str:
     if rnd.random() < 0.2:
         blocks.append(part("comment"))
     attr = rnd.choice((f' class="{name}"', f' id="{name.split()[0]}"')) if name else ""
-    content = f"<{tag}{attr}>{''.join(blocks)}</{tag}>"
+    # some articles have no element of their own, some lie deep
+    content = "".join(blocks) if rnd.random() < 0.15 else f"<{tag}{attr}>{''.join(blocks)}</{tag}>"
+    if rnd.random() < 0.12:
+        depth = rnd.choice((3, 10, 40, 200))
+        content = "<div>" * depth + content + "</div>" * depth
     for _ in range(rnd.choice((0, 0, 1, 2))):
         content = f"<div{rnd.choice(('', ' class=\"wrapper\"', ' id=\"page\"', ' class=\"container\"'))}>{some(['ad', 'nav', 'notice'], 0.2)}{content}{some(['side', 'comment'], 0.25)}</div>"
-    return f"<html><body>{some(['head', 'nav', 'notice', 'ad', 'form'], 0.5)}{content}{some(['comment', 'side', 'foot', 'share', 'ad'], 0.5)}</body></html>"
+    # some pages begin or end with the article
+    before, after = rnd.choice((0, 0.3, 0.6)), rnd.choice((0, 0.3, 0.6))
+    return f"<html><body>{some(['head', 'nav', 'notice', 'ad', 'form'], before)}{content}{some(['comment', 'side', 'foot', 'share', 'ad'], after)}</body></html>"
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 450, seed: int = 7) -> Boosted:
+def trained(pages: int = 900, seed: int = 7) -> Boosted:
     """The model: the same one in every run."""
     rnd = random.Random(seed)
     xs, ys = [], []
@@ -433,7 +432,10 @@ def extract(pages: Sequence[str], model: Boosted) -> list[str]:
     odds = model.log_odds(np.concatenate(tables))
     out, at = [], 0
     for nodes, texts in parsed:
-        picked = decode([v.parent for v in nodes], [v.depth for v in nodes], odds[at : at + len(nodes)])
+        own = odds[at : at + len(nodes)].copy()
+        # marks inside a line go with the line, unless they are links or speak of a theme
+        own[[v.tag in INLINE and v.tag != "a" and not v.themes for v in nodes]] = 1e-6
+        picked = decode([v.parent for v in nodes], [v.depth for v in nodes], own)
         at += len(nodes)
         picked[0] = False
         out.append(" ".join("".join(t for i, t in texts if i < 0 or picked[i]).split()))

@@ -39,14 +39,23 @@ def quotes_in(quotes: DataFrame, sources: DataFrame, quote_key: str, quote: str,
     """(quote, source) pairs where the source holds the quote as it is, white space aside.
 
     A source can only hold a quote if it has the quote's first ``gram`` words in
-    a row, so both sides meet on a hash of those; only then are texts compared.
-    Quotes of fewer words are left out.
+    a row, or all words of a shorter quote, so both sides meet on a hash of
+    those; only then are texts compared. Runs of a shorter length are made only
+    if a quote has just that many words. Blank quotes are in no source.
     """
+
     def words(c):
         return F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
 
-    q = quotes.select(quote_key, words(F.col(quote)).alias("__w")).where(F.size("__w") >= gram).select(quote_key, F.array_join("__w", " ").alias("__q"), F.xxhash64(F.array_join(F.slice("__w", 1, gram), " ")).alias("__h"))
-    s = sources.select(source_key, words(F.col(source)).alias("__w")).where(F.size("__w") >= gram)
-    s = s.select(source_key, F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")).alias("__s"), F.transform(F.sequence(F.lit(1), F.size("__w") - gram + 1), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, F.lit(gram)), " "))).alias("__g"))
+    def runs(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("__w") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, F.lit(size)), " ")))
+
+    q = quotes.select(quote_key, words(F.col(quote)).alias("__w")).where("__w[0] <> ''").withColumn("__n", F.least(F.size("__w"), F.lit(gram)))
+    # as many rows as there are lengths up to ``gram``
+    sizes = sorted(r[0] for r in q.select("__n").distinct().collect())
+    q = q.select(quote_key, F.array_join("__w", " ").alias("__q"), F.xxhash64(F.array_join(F.slice("__w", F.lit(1), F.col("__n")), " ")).alias("__h"))
+    s = sources.select(source_key, words(F.col(source)).alias("__w"))
+    grams = [F.when(F.size("__w") >= n, runs(n)).otherwise(F.array().cast("array<bigint>")) for n in sizes] or [F.array().cast("array<bigint>")]
+    s = s.select(source_key, F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")).alias("__s"), F.concat(*grams).alias("__g"))
     starts = s.select(source_key, F.explode(F.array_distinct("__g")).alias("__h")).join(q, "__h").select(source_key, quote_key, "__q")
     return starts.join(s.select(source_key, "__s"), source_key).where(F.contains(F.col("__s"), F.concat(F.lit(" "), F.col("__q"), F.lit(" ")))).select(quote_key, source_key).distinct()

@@ -242,13 +242,13 @@ def active_seconds(spark, sf_dir):
     return e.groupBy("user_id").agg(F.round(F.sum("d") / 1e6, 3).alias("wall_seconds"), F.round(active / 1e6, 3).alias("active_seconds"))
 
 
-@query("""WITH s AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 = 0), b AS (SELECT l_partkey, l_orderkey AS seed, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem JOIN s ON l_orderkey = o_orderkey),
+@query("""WITH s AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 100 = 0), b AS (SELECT l_partkey, l_orderkey AS seed, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem JOIN s ON l_orderkey = o_orderkey),
     r AS (SELECT seed, l_partkey FROM b WHERE n <= 3)
     SELECT seed, 'BACKWARD' AS role, l_partkey AS id FROM r UNION SELECT seed, 'FORWARD', l.l_orderkey FROM r JOIN lineitem l ON l.l_partkey = r.l_partkey WHERE l.l_orderkey <> seed""")
 def citation_hops(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    seeds = line.where("l_orderkey % 50 = 0").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    seeds = line.where("l_orderkey % 100 = 0").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     first = seeds.withColumn("n", F.row_number().over(w)).where("n <= 3").select(F.col("l_orderkey").alias("seed"), "l_partkey")
     back = first.select("seed", F.lit("BACKWARD").alias("role"), F.col("l_partkey").alias("id"))
     forward = first.join(line, "l_partkey").where("l_orderkey <> seed").select("seed", F.lit("FORWARD").alias("role"), F.col("l_orderkey").alias("id"))

@@ -12,7 +12,8 @@ is longer.
 Numbering the documents of a bucket needs no single task: they are dealt over
 shards of about ``shard_rows`` by a hash of key and text, ranked within a
 shard, and shifted by the sum of the shards before. So a bucket has one batch
-that isn't full at most.
+that isn't full at most. Where the texts are kept, shards are also small enough
+to hold about ``shard_bytes`` of them, so a bucket of long texts has more.
 
 Defined cases: null and empty texts have length 0 and go to the first bucket;
 every input row gets one place, rows in common one each; the order within a
@@ -89,7 +90,7 @@ def best_bounds(lengths: Sequence[int], counts: Sequence[int], buckets: int) ->
     return out[::-1]
 
 
-def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: Column | None = None, keep: Sequence[str] = (), budget: int = 8192, buckets: int = 16, shard_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: Column | None = None, keep: Sequence[str] = (), budget: int = 8192, buckets: int = 16, shard_rows: int = 50_000, shard_bytes: int = 16_000_000) -> DataFrame:
     """``key``, the columns to ``keep``, n_tokens, bucket, pad_to, batch, slot: each document's place.
 
     ``length`` counts a row's tokens (words of its text, if it isn't given).
@@ -98,14 +99,16 @@ def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: Co
     kept = [c for c in dict.fromkeys([key, *keep]) if c not in made]
     n = words(F.col(text)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
     columns = [F.col(f"`{c}`") for c in kept]
-    sized = written(docs.select(*columns, n.alias("n_tokens"), fingerprint(F.col(text)).alias("__fp")), "lengths")
+    size = F.octet_length(text_or_empty(F.col(text))) if text in kept else F.lit(0)
+    sized = written(docs.select(*columns, n.alias("n_tokens"), fingerprint(F.col(text)).alias("__fp"), size.cast("long").alias("__bytes")), "lengths")
     # as many rows as there are lengths: no more than the longest text has tokens
-    bins = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").collect()
+    bins = sized.groupBy("n_tokens").agg(F.count("*").alias("n"), F.sum("__bytes").alias("bytes")).orderBy("n_tokens").collect()
     bounds = best_bounds([max(r["n_tokens"], 1) for r in bins], [r["n"] for r in bins], buckets)
     if not bounds:
         kinds = {"n_tokens": "long", "bucket": "int", "pad_to": "long", "batch": "long", "slot": "long"}
         return sized.select(*columns, *(F.lit(0).cast(t).alias(c) for c, t in kinds.items()))
-    held = [sum(r["n"] for r in bins if lo < max(r["n_tokens"], 1) <= hi) for lo, hi in zip([0, *bounds], bounds, strict=False)]
+    inside = [[r for r in bins if lo < max(r["n_tokens"], 1) <= hi] for lo, hi in zip([0, *bounds], bounds, strict=False)]
+    shards = [max(1, -(-sum(r["n"] for r in b) // shard_rows), -(-sum(r["bytes"] for r in b) // shard_bytes)) for b in inside]
 
     def by_bucket(values: Sequence[int]) -> Column:
         return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), F.col("bucket") + 1)
@@ -113,7 +116,7 @@ def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: Co
     bucket = F.lit(len(bounds) - 1)
     for i in reversed(range(len(bounds) - 1)):
         bucket = F.when(F.col("n_tokens") <= bounds[i], F.lit(i)).otherwise(bucket)
-    dealt = sized.withColumn("bucket", bucket).withColumn("__shard", F.pmod(F.xxhash64(F.col(f"`{key}`"), "__fp"), by_bucket([max(1, -(-h // shard_rows)) for h in held])))
+    dealt = sized.withColumn("bucket", bucket).withColumn("__shard", F.pmod(F.xxhash64(F.col(f"`{key}`"), "__fp"), by_bucket(shards)))
     sums = dealt.groupBy("bucket", "__shard").agg(F.count("*").alias("__n"))
     before = sums.withColumn("__before", F.sum("__n").over(W.partitionBy("bucket").orderBy("__shard")) - F.col("__n")).select("bucket", "__shard", "__before")
     ranked = dealt.withColumn("__rank", F.row_number().over(W.partitionBy("bucket", "__shard").orderBy(f"`{key}`", "__fp")) - 1).join(before, ["bucket", "__shard"])

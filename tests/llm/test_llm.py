@@ -62,9 +62,12 @@ def test_best_bounds():
         assert cost(op02_packing.best_bounds(lengths, counts, k)) == best
 
 
-def test_pack(spark):
-    rows = op02_packing.pack(odd(spark), budget=100, buckets=3, shard_rows=2).collect()
+@pytest.mark.parametrize("shards", [{"shard_rows": 2}, {"keep": ["text"], "shard_bytes": 20}])
+def test_pack(spark, shards):
+    rows = op02_packing.pack(odd(spark), budget=100, buckets=3, **shards).collect()
     assert len(rows) == len(ODD)
+    if "keep" in shards:
+        assert sorted((str(r.doc_id), r.text or "", r.text is None) for r in rows) == sorted((str(i), t or "", t is None) for i, t in ODD)
     batches = {}
     for r in rows:
         assert r.n_tokens <= r.pad_to

@@ -290,7 +290,8 @@ def ocr_anomalies(spark, sf_dir):
 
 @query("""WITH n AS (SELECT conv_id, turn, len(regexp_extract_all(lower(text), '\\b(?:not|no|never|none|neither|nor|without|cannot)\\b|n''t\\b')) AS negations FROM conversations) SELECT *, negations % 2 = 1 AS negated FROM n""")
 def negation_parity(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", textual.negations(F.col("text")).alias("negations"), textual.is_negated(F.col("text")).alias("negated"))
+    said = F.col("text").isNotNull()  # a null text has no count in the SQL
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(said, textual.negations(F.col("text"))).alias("negations"), F.when(said, textual.is_negated(F.col("text"))).alias("negated"))
 
 
 @query("""SELECT conv_id, turn, concat_ws(' ', lag(text) OVER w, text, lead(text) OVER w) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")

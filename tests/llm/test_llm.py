@@ -363,6 +363,41 @@ def test_substring_past_least_document(spark):
     assert got == {(g * 10 + 2, g * 10 + 1): (0, 60, 30) for g in range(20)}
 
 
+def test_substring_past_documents_between(spark):
+    """Documents with less than a passage stand between all that share it, in every chain; some signatures are over a block."""
+    rnd, _ = corpus(0, 16)
+    fresh = lambda k: [f"w{rnd.randrange(10**9)}" for _ in range(k)]
+    rows, want = [], set()
+    for g in range(30):
+        p = fresh(60)
+        rows.append((g * 100, p + fresh(30)))
+        for k in range(1, 50):
+            # 46 words in a row, wherever: each shares signatures, none has 50
+            at = rnd.randint(0, 14)
+            rows.append((g * 100 + k, fresh(20) + p[at : at + 46] + fresh(20)))
+        rows.append((g * 100 + 50, fresh(25) + p))
+        want.add((g * 100 + 50, g * 100))
+    common = fresh(47)
+    rows += [(10_000 + k, fresh(8) + common + fresh(8)) for k in range(1200)]
+    rows += [(20_000, fresh(8) + common + ["end", "of", "all"]), (9_999, common + ["end", "of", "all"] + fresh(9)), (20_001, fresh(8) + common + ["end", "of", "all"])]
+    want |= {(20_000, 9_999), (20_001, 20_000)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id) for r in op07_substring.duplicate_passages(docs).where("similarity = 1").collect()}
+    assert want <= got, sorted(want - got)[:10]
+
+
+def test_substring_copies(spark):
+    """Each copy names the least id; a text with copies keeps its other passages."""
+    rnd, _ = corpus(0, 17)
+    fresh = lambda k: [f"w{rnd.randrange(10**9)}" for _ in range(k)]
+    p, q = fresh(60), fresh(60)
+    copy = fresh(10) + p + fresh(10)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in [(1, p), *((k, copy) for k in range(2, 40)), (40, p + q), (41, q), (42, fresh(20)), (42, copy)]], "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id): (r.start_word, r.end_word) for r in op07_substring.duplicate_passages(docs).collect()}
+    assert all(got[k, 2] == (0, 80) for k in range(3, 40)) and got[2, 1] == (10, 70) and got[41, 40] == (0, 60)
+    assert {i for i, _ in got} == {*range(2, 43)} and any(k[0] == 42 and v == (0, 80) for k, v in got.items())
+
+
 def test_substring_recall_by_brute_force(spark):
     """Passages that three documents share in full or in part, in any order of ids, against all pairs."""
     rnd, _ = corpus(0, 14)

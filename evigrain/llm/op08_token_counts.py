@@ -5,15 +5,14 @@ another character, never merges across those places. So a text falls apart into
 pre-tokens (a run of spaces with the word after it, a bare word, a line break)
 whose token counts add up to the text's.
 
-* Tier 1: a broadcast table from frequent pre-tokens to their counts. It has at
-  most ``table_size`` entries of up to 48 characters, the most frequent of about
-  ``sample_docs`` documents picked by a hash of their text. It only saves work;
-  the counts don't depend on it.
+* Tier 1: a broadcast table from frequent pre-tokens to their token counts. It
+  has at most ``table_size`` entries of up to 48 characters, the most frequent
+  of all documents by exact counts. It only saves work; results don't depend on it.
 * Tier 2: a bounded cache in each Python worker for all other pre-tokens; those
   not there are encoded in one call a batch.
 
-No pre-token is shuffled but the sample's frequent ones; the plan is a scan and
-one Arrow map.
+Pre-tokens are shuffled once as counts, one a task and pre-token; the rest is a
+scan and one Arrow map.
 
 Defined cases: null and empty texts have 0 tokens; a text of any length is
 counted whole; every input row gives one row, repeated rows too; an empty table
@@ -32,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, map_arrow, sampled, text_or_empty
+from .common import add_columns, map_arrow, text_or_empty, written
 
 SPACE_MARK = "▁"
 PRE_TOKEN = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 #: Longer pre-tokens are rare, and are not cached.
 LONGEST_CACHED = 48
+#: Different pre-tokens that a task counts before it sends them.
+HELD = 500_000
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -98,33 +99,43 @@ def _counter(key, model: bytes, frequent: dict[str, int], cache_size: int) -> Pi
     return _COUNTERS[key]
 
 
-def frequent_pre_tokens(docs: DataFrame, text: str, sample_docs: int, table_size: int) -> list[str]:
-    """The most frequent pre-tokens of a sample picked by a hash; each task sends no more than the table holds."""
+def frequent_pre_tokens(docs: DataFrame, text: str, table_size: int) -> list[str]:
+    """The most frequent pre-tokens of all documents, by exact counts; a task holds and sends at most :data:`HELD` at a time."""
     texts = docs.select(text_or_empty(F.col(text)).alias("__text"))
-    sample = texts.where(sampled(F.col("__text"), sample_docs / max(1, docs.count())))
+
+    def sent(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["piece", "n"])
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 found.update(p for p in pre_tokens(t) if len(p) <= LONGEST_CACHED)
-                if len(found) > 8 * table_size:
-                    found = Counter(dict(found.most_common(table_size)))
-        top = found.most_common(table_size)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
-
-    counted = map_arrow(sample, seen, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r["piece"] for r in counted.orderBy(F.desc("n"), "piece").limit(table_size).collect()]
-
-
-def count_tokens(docs: DataFrame, model: bytes, *, text: str = "text", keep: Sequence[str] = ("doc_id",), limit: int = 4096, sample_docs: int = 512, table_size: int = 65_536, cache_size: int = 300_000) -> DataFrame:
+                if len(found) > HELD:
+                    yield sent(found)
+                    found = Counter()
+        yield sent(found)
+
+    counted = map_arrow(texts, seen, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counted = written(counted, "counts")
+    # a row to the driver for each count that occurs, then only pre-tokens as frequent as fit; ties that don't are left out
+    room, least = table_size, None
+    for n, pieces in counted.groupBy("n").agg(F.count("*").alias("pieces")).orderBy(F.desc("n")).limit(table_size).collect():
+        room -= pieces
+        if room < 0:
+            break
+        least = n
+    return [] if least is None else [r["piece"] for r in counted.where(F.col("n") >= least).select("piece").collect()]
+
+
+def count_tokens(docs: DataFrame, model: bytes, *, text: str = "text", keep: Sequence[str] = ("doc_id",), limit: int = 4096, table_size: int = 65_536, cache_size: int = 300_000) -> DataFrame:
     """``keep`` columns, ``n_bytes``, ``n_tokens`` and ``over_limit`` of each row.
 
     ``model`` holds the bytes of a sentencepiece model file. See the module's
     text for the method and the defined cases.
     """
     spark = docs.sparkSession
-    top = frequent_pre_tokens(docs, text, sample_docs, table_size)
+    top = frequent_pre_tokens(docs, text, table_size)
     frequent = dict(zip(top, PieceCounter(model).lengths(top), strict=True))
     shared = spark.sparkContext.broadcast((model, frequent))
     key = (id(shared), hash(model), len(frequent))

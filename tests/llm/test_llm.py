@@ -671,3 +671,9 @@ def test_pipeline(spark):
     for f in stage.values():
         nothing = f(spark, nothing, "")
         assert nothing.count() == 0
+
+
+def test_frequent_pre_tokens_of_all(spark):
+    """Counts are of all documents: what is rare in most and frequent in one is in the table."""
+    docs = spark.createDataFrame([(i, f"a{i % 7}") for i in range(3000)] + [(3000, "rare " * 5000), (3001, None)], "doc_id long, text string").repartition(5)
+    assert op08_token_counts.frequent_pre_tokens(docs, "text", table_size=1) == [" rare"]

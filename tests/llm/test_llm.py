@@ -386,6 +386,23 @@ def test_substring_past_documents_between(spark):
     assert want <= got, sorted(want - got)[:10]
 
 
+def test_substring_rows_of_a_crowd(spark):
+    """Where documents with less than a passage stand between those that share it, each of these names a few before it, not all."""
+    rnd, _ = corpus(0, 18)
+    fresh = lambda k: [f"w{rnd.randrange(10**9)}" for _ in range(k)]
+    p, rows = fresh(60), []
+    for k in range(120):
+        at = rnd.randint(0, 14)
+        rows += [(2 * k, fresh(20) + p + fresh(20)), (2 * k + 1, fresh(20) + p[at : at + 46] + fresh(20))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = op07_substring.duplicate_passages(docs).collect()
+    covered = {}
+    for r in got:
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert set(covered) == set(range(2, 240, 2)) and all(x == set(range(20, 80)) for x in covered.values())
+    assert len(got) <= 5 * 120, len(got)
+
+
 def test_substring_copies(spark):
     """Each copy names the least id; a text with copies keeps its other passages."""
     rnd, _ = corpus(0, 17)

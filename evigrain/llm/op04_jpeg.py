@@ -2,18 +2,19 @@
 
 :func:`parse` walks the markers of a baseline file (SOF0/SOF1, DHT, DQT, DRI,
 SOS, COM). :func:`coefficients` Huffman-decodes the scan to quantised DCT
-coefficients, for grey or colour files with any sampling and restart interval.
-Where a table has one code only, every coefficient takes the same number of
-bits and the scan is decoded as one array; otherwise a table-driven loop reads
-it bit by bit. :func:`thumbnail` rebuilds luminance from the DC terms alone:
-one pixel for each 8x8 block.
+coefficients, for grey or colour files with any sampling and restart interval,
+bit by bit from a table. Where a grey file restarts at each block, blocks are
+decoded side by side, a code of each at a time, by the same tables, and those
+of many files together (:func:`side_by_side`). :func:`thumbnail` rebuilds
+luminance from the DC terms alone: one pixel for each 8x8 block.
 
 :func:`wrap` stores bytes without loss: a JPEG's unit is the quantised
-coefficient, and a block has 64 of them. Coefficients of category 8 are
--255..-128 and 128..255, 256 values whose 8 extra bits are just the byte. So
-each block holds 64 bytes, each as a one-bit code and those 8 bits; a restart
-marker after each block lets DC terms stand for themselves. The payload's length
-is in a comment.
+coefficient, and a block has 64 of them. A byte is the coefficient of its
+distance from :data:`ORIGIN`, -128..127, so that frequent letters have few
+bits. They are coded as in any such file: a DC difference, runs of zeros with
+the size of what follows, an end of block, by the luminance tables of the
+standard's annex K. A restart marker after each block lets DC terms stand for
+themselves. The payload's length is in a comment.
 
 Defined cases: a null text or medium is the empty one; a text is padded with
 zero bytes to a positive multiple of 64 and stored whole; a medium that is no
@@ -35,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, text_or_empty
+from .common import add_columns, task_cache, text_or_empty
 
 BLOCK = 64
 #: Most blocks in a row or column: 65,535 pixels.
 WIDEST = 8191
 #: Quantiser of the stored DC terms, so that they span the whole range of grey.
-DC_STEP = 4
+DC_STEP = 8
 
 
 class BadJpeg(ValueError):
@@ -71,6 +72,76 @@ def huffman_segment(kind: int, number: int, codes: dict[int, list[int]]) -> byte
     return segment(0xC4, bytes([kind << 4 | number]) + counts + bytes(s for n in range(1, 17) for s in codes.get(n, ())))
 
 
+#: The byte that is stored as zero.
+ORIGIN = ord("e")
+#: Typical luminance tables (annex K.3): symbols by code length.
+DC_SYMBOLS = {2: [0], 3: [1, 2, 3, 4, 5], 4: [6], 5: [7], 6: [8], 7: [9], 8: [10], 9: [11]}
+_AC = bytes.fromhex("0102030004110512213141061351610722711432819 1a1082342b1c11552d1f02433627282".replace(" ", "")) + bytes([9, 10])
+_AC += bytes(run << 4 | size for run in range(16) for size in range(1, 11) if run << 4 | size not in _AC)
+_AC_COUNTS = (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125)
+AC_SYMBOLS = {n: list(_AC[sum(_AC_COUNTS[: n - 1]) : sum(_AC_COUNTS[:n])]) for n in range(1, 17) if _AC_COUNTS[n - 1]}
+EOB, ZRL = 0x00, 0xF0
+
+
+def codes_of(symbols: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(Code, code length) of each symbol, canonical."""
+    codes, sizes = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    code = 0
+    for n in range(1, 17):
+        for s in symbols.get(n, ()):
+            codes[s], sizes[s] = code, n
+            code += 1
+        code <<= 1
+    return codes, sizes
+
+
+DC_CODES, AC_CODES = codes_of(DC_SYMBOLS), codes_of(AC_SYMBOLS)
+#: Bits of the absolute value of a coefficient, -255..255, by its place from 0.
+CATEGORY = np.array([abs(v).bit_length() for v in range(-255, 256)])
+
+
+def entropy_coded(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Bytes, bytes a block) of blocks of 64 coefficients of 8 bits, each from a byte's start and its DC term by itself."""
+    n = len(grid)
+    dc = grid[:, 0]
+    block, at = np.nonzero(grid[:, 1:])
+    at += 1
+    value = grid[block, at]
+    # a run goes back to the coefficient before that isn't zero, or to the block's DC term
+    before = np.where(np.concatenate([[True], block[1:] != block[:-1]])[: len(block)], 0, np.concatenate([[0], at[:-1]])[: len(at)])
+    run = at - before - 1
+    long = run >> 4
+    # of a run of 16 or more, a code for each 16 comes before
+    token = np.repeat(np.arange(len(at)), long + 1)
+    real = np.ones(len(token), bool)
+    if long.any():
+        real[:] = False
+        real[np.cumsum(long + 1) - 1] = True
+    last = np.zeros(n, np.int64)
+    last[block] = at
+    short = np.flatnonzero(last < 63)
+    sizes = CATEGORY[value + 255][token]
+    symbol = np.where(real, (run[token] & 15) << 4 | sizes, ZRL)
+    sizes = np.where(real, sizes, 0)
+    values = value[token]
+    extra = np.where(values < 0, values + (1 << sizes) - 1, values) & ((1 << sizes) - 1)
+    dc_sizes = CATEGORY[dc + 255]
+    dc_extra = np.where(dc < 0, dc + (1 << dc_sizes) - 1, dc)
+    code = np.concatenate([DC_CODES[0][dc_sizes] << dc_sizes | dc_extra, AC_CODES[0][symbol] << sizes | extra, np.full(len(short), AC_CODES[0][EOB])])
+    bits = np.concatenate([DC_CODES[1][dc_sizes] + dc_sizes, AC_CODES[1][symbol] + sizes, np.full(len(short), AC_CODES[1][EOB])])
+    owner = np.concatenate([np.arange(n), block[token], short])
+    # a block ends with ones up to a whole byte
+    fill = -np.bincount(owner, bits, n).astype(np.int64) % 8
+    code, bits, owner = np.concatenate([code, (1 << fill) - 1]), np.concatenate([bits, fill]), np.concatenate([owner, np.arange(n)])
+    place = np.concatenate([np.zeros(n, np.int64), at[token], np.full(len(short), 64), np.full(n, 65)])
+    order = np.argsort(owner * 66 + place, kind="stable")
+    code, bits = code[order], bits[order]
+    which = np.repeat(np.arange(len(bits)), bits)
+    shift = np.cumsum(bits)[which] - 1 - np.arange(len(which))
+    raw = np.packbits((code[which] >> shift & 1).astype(np.uint8))
+    return raw, np.bincount(owner[order], bits, n).astype(np.int64) // 8
+
+
 def wrap(payload: bytes) -> bytes:
     """A grey baseline JPEG whose quantised coefficients are the payload's bytes."""
     if not payload or len(payload) % BLOCK:
@@ -80,21 +151,19 @@ def wrap(payload: bytes) -> bytes:
     high = -(-blocks // wide)
     if high > WIDEST:
         raise ValueError("too long for one JPEG")
-    data = np.frombuffer(payload + bytes((wide * high - blocks) * BLOCK), np.uint8).reshape(-1, 8)
-    # eight 9-bit groups, a zero bit and a byte each, fill nine bytes
-    bits = np.empty((len(data), 9), np.uint8)
-    bits[:, 0] = data[:, 0] >> 1
-    for k in range(1, 8):
-        bits[:, k] = (data[:, k - 1] << (8 - k)) | (data[:, k] >> (k + 1))
-    bits[:, 8] = data[:, 7]
-    raw = bits.reshape(-1, 72)
+    data = np.frombuffer(payload + bytes([ORIGIN]) * ((wide * high - blocks) * BLOCK), np.uint8)
+    grid = (data - np.uint8(ORIGIN)).view(np.int8).astype(np.int64).reshape(-1, BLOCK)
+    # a long text's bits are laid out some blocks at a time
+    parts = [entropy_coded(grid[k : k + 4096]) for k in range(0, len(grid), 4096)]
+    raw, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
     ff = raw == 0xFF
     # each block grows by its stuffed zeros and a restart marker
-    before = np.cumsum(ff.ravel()) - ff.ravel()
-    at = np.arange(raw.size) + before + 2 * np.repeat(np.arange(len(raw)), 72)
-    scan = np.zeros(raw.size + int(ff.sum()) + 2 * (len(raw) - 1), np.uint8)
-    scan[at] = raw.ravel()
-    ends = at[71::72][:-1] + 1 + ff[:-1, 71]
+    before = np.cumsum(ff) - ff
+    at = np.arange(raw.size) + before + 2 * np.repeat(np.arange(len(sizes)), sizes)
+    scan = np.zeros(raw.size + int(ff.sum()) + 2 * (len(sizes) - 1), np.uint8)
+    scan[at] = raw
+    last = np.cumsum(sizes)[:-1] - 1
+    ends = at[last] + 1 + ff[last]
     scan[ends] = 0xFF
     scan[ends + 1] = 0xD0 + np.arange(len(ends)) % 8
     return b"".join(
@@ -103,8 +172,8 @@ def wrap(payload: bytes) -> bytes:
             segment(0xFE, b"n=%d" % len(payload)),
             segment(0xDB, b"\x00" + bytes([DC_STEP] + [1] * 63)),
             segment(0xC0, struct.pack(">BHHB", 8, high * 8, wide * 8, 1) + b"\x01\x11\x00"),
-            huffman_segment(0, 0, {1: [8]}),
-            huffman_segment(1, 0, {1: [8]}),
+            huffman_segment(0, 0, DC_SYMBOLS),
+            huffman_segment(1, 0, AC_SYMBOLS),
             segment(0xDD, struct.pack(">H", 1)),
             segment(0xDA, b"\x01\x01\x00\x00\x3f\x00"),
             scan.tobytes(),
@@ -200,28 +269,95 @@ def lookup(table: tuple[list[int], list[int]]) -> np.ndarray:
     return out
 
 
-def single(table: tuple[list[int], list[int]]) -> tuple[int, int] | None:
-    """(Code length, symbol) if the table has one code."""
-    return (table[0].index(1) + 1, table[1][0]) if len(table[1]) == 1 else None
-
-
-def extend(bits: np.ndarray, size: int) -> np.ndarray:
-    return np.where(bits >= 1 << (size - 1), bits, bits - (1 << size) + 1) if size else bits
-
-
-def even_scan(data: np.ndarray, ends: np.ndarray, blocks: int, dc: tuple[int, int], ac: tuple[int, int]) -> np.ndarray | None:
-    """All coefficients at once if each one has the same bits, and a block starts at a byte."""
-    width = dc[0] + dc[1]
-    if ac[0] + ac[1] != width or dc[1] != ac[1] or not 1 <= ac[1] <= 10 or width * 8 % 8 or len(data) != blocks * 8 * width or len(ends) != blocks or width != 9:
-        return None
-    if not np.array_equal(ends, np.arange(1, blocks + 1) * 8 * width):
-        return None
-    nine = data.reshape(-1, 9)
-    out = np.empty((len(nine), 8), np.uint8)
-    for k in range(7):
-        out[:, k] = (nine[:, k] << (k + 1)) | (nine[:, k + 1] >> (7 - k))
-    out[:, 7] = nine[:, 8]
-    return extend(out.astype(np.int16), 8).reshape(blocks, 64) if ac[1] == 8 else None
+#: Tables of a task's files; most have the same.
+@task_cache
+def cached_lookup(counts: bytes, symbols: bytes) -> np.ndarray:
+    return lookup((list(counts), list(symbols)))
+
+
+def restarts_each_block(found: dict) -> bool:
+    return len(found["frame"]["parts"]) == 1 and found["restart"] == 1
+
+
+def tables_of(found: dict) -> tuple[tuple[bytes, bytes], tuple[bytes, bytes]]:
+    """The (DC, AC) tables of a file's first component."""
+    p = found["frame"]["parts"][0]
+    if (0, p["dc"]) not in found["huffman"] or (1, p["ac"]) not in found["huffman"]:
+        raise BadJpeg("a Huffman table is missing")
+    dc, ac = ((bytes(c), bytes(s)) for c, s in (found["huffman"][0, p["dc"]], found["huffman"][1, p["ac"]]))
+    return dc, ac
+
+
+def side_by_side(data: np.ndarray, ends: np.ndarray, dc: np.ndarray, ac: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Blocks of 64 coefficients, whether each is whole) of restart intervals of one block each, a code of each at a time."""
+    n = len(ends)
+    padded = np.concatenate([data, np.full(8, 0xFF, np.uint8)]).astype(np.uint32)
+    words = padded[:-3] << 24 | padded[1:-2] << 16 | padded[2:-1] << 8 | padded[3:]
+    out, good = np.zeros((n, 64), np.int16), np.ones(n, bool)
+    most = 8 * len(data)
+    live = np.arange(n)
+    at, stop = 8 * np.concatenate([[0], ends[:-1]]), 8 * ends
+    k = np.zeros(n, np.int64)
+
+    def peek(at: np.ndarray) -> np.ndarray:
+        """The next 16 bits; a code's or a value's, which have no more."""
+        return ((words[at >> 3] << (at & 7).astype(np.uint32)) >> np.uint32(16)).astype(np.int64)
+
+    first = True
+    while len(live):
+        entry = (dc if first else ac)[peek(at)].astype(np.int64)
+        size = entry & (255 if first else 15)
+        run = 0 if first else (entry & 255) >> 4
+        at = at + (entry >> 8)
+        value = peek(np.minimum(at, most)) >> (16 - size)
+        at = at + size
+        value = np.where(value < (1 << size) >> 1, value - (1 << size) + 1, value)
+        past = k + run
+        # a code that is none, a run past its block, bits past its end
+        bad = (entry == 0) | (at > stop) | ((size > 0) & (past > 63)) | (size > 15)
+        ends_here = (size == 0) & (run != 15) & (not first)
+        some = (size > 0) & ~bad
+        out[live[some], past[some]] = value[some]
+        good[live[bad]] = False
+        k = past + 1
+        on = ~bad & ~ends_here & (k < 64)
+        live, at, stop, k = live[on], at[on], stop[on], k[on]
+        first = False
+    return out, good
+
+
+def decode_together(files: list[dict]) -> list[list[np.ndarray]]:
+    """:func:`coefficients` of each file; those that restart at each block together, as many as have the same tables."""
+    out: list = [None] * len(files)
+    groups: dict = {}
+    for i, found in enumerate(files):
+        if restarts_each_block(found):
+            if not found["frame"]["width"] or not found["frame"]["height"]:
+                raise BadJpeg("no size")
+            groups.setdefault(tables_of(found), []).append(i)
+        else:
+            out[i] = coefficients(found)
+    for (dc, ac), members in groups.items():
+        data, ends, shapes, upto = [], [], [], 0
+        for i in members:
+            frame = files[i]["frame"]
+            shapes.append((-(-frame["height"] // 8), -(-frame["width"] // 8)))
+            raw, own = pieces(np.frombuffer(files[i]["scan"], np.uint8))
+            blocks = shapes[-1][0] * shapes[-1][1]
+            if len(own) < blocks:
+                raise BadJpeg("cut short")
+            own = own[:blocks]
+            data.append(raw[: own[-1]])
+            ends.append(own + upto)
+            upto += int(own[-1])
+        grid, good = side_by_side(np.concatenate(data), np.concatenate(ends), cached_lookup(*dc), cached_lookup(*ac))
+        if not good.all():
+            raise BadJpeg("no such code, or cut short")
+        first = 0
+        for i, (down, across) in zip(members, shapes, strict=True):
+            out[i] = [grid[first : first + down * across].reshape(down, across, 64)]
+            first += down * across
+    return out
 
 
 def coefficients(found: dict, even: bool = True) -> list[np.ndarray]:
@@ -236,15 +372,11 @@ def coefficients(found: dict, even: bool = True) -> list[np.ndarray]:
     for p in parts:
         if (0, p["dc"]) not in found["huffman"] or (1, p["ac"]) not in found["huffman"]:
             raise BadJpeg("a Huffman table is missing")
+    if even and restarts_each_block(found):
+        return decode_together([found])[0]
     data, ends = pieces(np.frombuffer(found["scan"], np.uint8))
     if alone:
-        p = parts[0]
         across, down = -(-frame["width"] // 8), -(-frame["height"] // 8)
-        tables = [single(found["huffman"][k]) for k in ((0, p["dc"]), (1, p["ac"]))]
-        if even and found["restart"] == 1 and all(tables):
-            out = even_scan(data, ends, across * down, *tables)
-            if out is not None:
-                return [out.reshape(down, across, 64)]
     grids = [np.zeros((down * (1 if alone else p["v"]), across * (1 if alone else p["h"]), 64), np.int16) for p in parts]
     tables = [(lookup(found["huffman"][0, p["dc"]]), lookup(found["huffman"][1, p["ac"]])) for p in parts]
     raw = data.tobytes()
@@ -337,16 +469,20 @@ def average_hash(grey: np.ndarray, side: int = 8) -> str:
     return np.packbits(mean > mean.mean()).tobytes().hex()
 
 
-def unwrap(data: bytes) -> tuple[bytes, dict, list[np.ndarray]]:
-    """The payload that :func:`wrap` stored, with the parsed file and its coefficients."""
-    found = parse(data)
-    grids = coefficients(found)
+def payload_of(found: dict, grids: list[np.ndarray]) -> bytes:
+    """The payload that :func:`wrap` stored."""
     size = next((int(c[2:]) for c in found["comments"] if c.startswith(b"n=") and c[2:].isdigit()), None)
     flat = grids[0].reshape(-1)
     if size is None or size > len(flat) or len(grids) > 1:
         raise BadJpeg("no stored payload")
-    # a coefficient of category 8 is its byte, less 255 if it is negative
-    return (flat[:size] + 255 * (flat[:size] < 0)).astype(np.uint8).tobytes(), found, grids
+    return ((flat[:size] + ORIGIN) & 255).astype(np.uint8).tobytes()
+
+
+def unwrap(data: bytes) -> tuple[bytes, dict, list[np.ndarray]]:
+    """The payload that :func:`wrap` stored, with the parsed file and its coefficients."""
+    found = parse(data)
+    grids = coefficients(found)
+    return payload_of(found, grids), found, grids
 
 
 def feature(found: dict, grids: list[np.ndarray]) -> str:
@@ -401,8 +537,9 @@ def payload_digests(media: DataFrame, *, column: str = "media", keep: Sequence[s
     def make():
         def work(values: list[bytes]) -> list[list]:
             rows = []
-            for data in values:
-                payload, found, grids = unwrap(data)
+            files = [parse(data) for data in values]
+            for data, found, grids in zip(values, files, decode_together(files), strict=True):
+                payload = payload_of(found, grids)
                 rows.append([len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature(found, grids)])
             return [list(x) for x in zip(*rows, strict=True)]
 

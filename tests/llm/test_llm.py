@@ -204,6 +204,30 @@ def test_jpeg_round_trip(spark):
     assert all(r.width is None and r.error for r in op04_jpeg.jpeg_features(bad).collect())
 
 
+def test_jpeg_huffman():
+    """The query's own files have codes of several lengths, which are decoded as such: together, alone and bit by bit."""
+    rng = np.random.default_rng(1)
+    payloads = [rng.integers(0, 256, 64 * 7, dtype=np.uint8).tobytes(), op04_jpeg.pad(b"some words, and more words " * 20), (b"e" * 40 + b"a" + b"e" * 23) * 3, b"e" * 64, bytes(128)]
+    files = [op04_jpeg.parse(op04_jpeg.wrap(p)) for p in payloads]
+    for found, grids, payload in zip(files, op04_jpeg.decode_together(files), payloads, strict=True):
+        assert all(sum(n > 0 for n in counts) > 3 for counts, _ in found["huffman"].values())
+        assert op04_jpeg.payload_of(found, grids) == payload
+        assert all(np.array_equal(grids[0], op04_jpeg.coefficients(found, even=e)[0]) for e in (True, False))
+
+    def outcome(data, even):
+        try:
+            return op04_jpeg.coefficients(op04_jpeg.parse(data), even=even)[0].tolist()
+        except op04_jpeg.BadJpeg:
+            return None
+
+    whole, outcomes = op04_jpeg.wrap(payloads[1]), []
+    for _ in range(60):
+        broken = bytearray(whole)
+        broken[int(rng.integers(len(whole) - 400, len(whole)))] = int(rng.integers(0, 256))
+        outcomes.append([outcome(bytes(broken), even) for even in (True, False)])
+    assert all(x == y for x, y in outcomes) and any(x is None for x, _ in outcomes) and any(x is not None for x, _ in outcomes)
+
+
 def texts_to_encode():
     rnd = random.Random(3)
     some = list("abcXYZ  \n\t'.,019ÉßñΣ▁<|>#") + ["<|endoftext|>", "</s>", " ", "İ", "½", "é", "\x1c", "中", "😀", "'ll", "\r\n"]

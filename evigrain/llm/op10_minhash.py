@@ -23,20 +23,16 @@ anything else. Classes that agree in all samples of a band share a bucket.
    every class is compared with one pivot, the class that shares most buckets.
 2. Connected components are found. A pivot's component and all classes that
    share a large bucket with it are a crowd; those that aren't in the component
-   are its rest. The rest is compared with the whole crowd, exactly and in
+   are its rest. The rest is compared with the whole crowd, however large
+   either is, exactly and in
    blocks of :data:`BLOCK` by as many: a block's weighted shingles are indexed,
    and what a text has in common with all of a block is summed at once, so no
    row is made for a pair.
-3. If a rest has over :data:`FEW` classes, it is a crowd of different texts: its
-   classes are sampled anew with longer bands, and more of them, and those
-   buckets are treated alike. On the last of :data:`LEVELS` every rest is
-   compared, however large.
 
 So pairs within a group of near copies aren't all made, and no class is left
 uncompared: only pairs of small buckets, or with a pivot, whose samples agree
 too seldom for the threshold (once in 100,000 pairs that reach it) aren't read.
-A pair at the threshold shares a bucket with a probability of 0.999 on the
-first level and over 0.99 on each other. Pairs are decided by the exact
+A pair at the threshold shares a bucket with a probability of 0.999. Pairs are decided by the exact
 weighted Jaccard similarity of their whole texts; documents in one connected
 component are a group.
 
@@ -68,12 +64,10 @@ from .graph import components
 from .shingles import U, mix, parted, vectors
 
 TABLE = 1 << 16
-#: (Bands, samples a band) of each level.
-LEVELS = ((10, 3), (20, 6), (40, 9), (80, 12))
+#: Bands, and samples a band.
+BANDS, ROWS = 10, 3
 #: Classes of a bucket that is compared whole.
 SMALL = 16
-#: Classes of a rest that is compared with all of its crowd.
-FEW = 5000
 #: Texts on either side of a block of comparisons.
 BLOCK = 300
 #: Samples whose low bytes are kept to sift pairs, and the words that hold them.
@@ -371,8 +365,8 @@ class _Linker:
             self.links.append(found)
             self.labels = components(functools.reduce(DataFrame.unionByName, self.links))
 
-    def level(self, members: DataFrame, last: bool) -> DataFrame | None:
-        """Compare the members of buckets; give back the classes of crowds, for the next level."""
+    def link(self, members: DataFrame) -> None:
+        """Compare the members of buckets, those of crowds to the end."""
         texts = self.texts_of(members.select("__node").distinct())
         small, large = members.where(F.col("__n") <= SMALL), members.where(F.col("__n") > SMALL)
         met = small.alias("x").join(small.alias("y"), "__bucket").where((F.col("x.__node") < F.col("y.__node")) & _alike("x", "y", self.least))
@@ -386,7 +380,7 @@ class _Linker:
             pairs = pairs.unionByName(held.select(*_ordered(F.col("__node"), F.col("y.__pivot"))))
         self.compare(pairs, texts)
         if not crowds:
-            return None
+            return
         # a crowd: a pivot's component and what shares a bucket with the pivot; its rest: what isn't in the component
         named, at_head = large.withColumn("__label", F.col("__node")), heads.select("__bucket", "__size", F.col("y.__pivot").alias("__head"))
         if self.labels is not None:
@@ -395,11 +389,7 @@ class _Linker:
         placed = salted_join(named.select("__bucket", "__node", "__label"), at_head, ["__bucket"], "__size", F.col("__node"))
         placed = written(placed.select("__head", "__node", "__label").distinct(), "crowds")
         sizes = placed.groupBy("__head").agg(F.count("*").alias("__n"), F.count_if(F.col("__label") != F.col("__head")).alias("__rest")).where("__rest > 0")
-        few = F.lit(True) if last else F.col("__rest") <= FEW
-        sizes = written(sizes.withColumn("__close", few), "rests")
-        self.blocks(placed, sizes.where("__close"), texts)
-        crowd = sizes.where("not __close")
-        return None if crowd.isEmpty() else written(placed.join(crowd, "__head", "left_semi").where(F.col("__label") != F.col("__head")).select("__node").distinct(), "crowd")
+        self.blocks(placed, written(sizes, "rests"), texts)
 
     def blocks(self, placed: DataFrame, sizes: DataFrame, texts: DataFrame) -> None:
         """Compare the rest of each crowd with the crowd, in blocks."""
@@ -440,35 +430,28 @@ def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", thre
     common, df, documents = document_frequencies(docs, text, floor)
     weights = spark.sparkContext.broadcast(Weights(common, df, documents, floor))
 
-    def sampler(level: int):
-        bands, rows = LEVELS[level]
-        before = sum(b * r for b, r in LEVELS[:level])
-
-        def make():
-            w = weights.value
-
-            def work(texts: list[str]) -> list[list]:
-                raw = [t.encode() for t in texts]
-                one, two, keys, words = [], [], [], []
-                for a, b in parted(raw):
-                    s, tf, counts = vectors(raw[a:b])
-                    found = samples(s, w(s, tf), counts, bands * rows, w.plain, before)
-                    keys += [row if n else None for n, row in zip(counts.tolist(), _as_long(band_keys(found, bands, rows)).tolist(), strict=True)]
-                    if not level:
-                        x, y = identity(s, tf, counts)
-                        one += [v if n else None for n, v in zip(counts.tolist(), _as_long(x).tolist(), strict=True)]
-                        two += _as_long(y).tolist()
-                        words.append(sketch(found))
-                return [keys] if level else [one, two, keys, *(np.concatenate(words).T.tolist() if words else [[]] * len(WORDS))]
-
-            return work
+    def sampler():
+        w = weights.value
 
-        return make
+        def work(texts: list[str]) -> list[list]:
+            raw = [t.encode() for t in texts]
+            one, two, keys, words = [], [], [], []
+            for a, b in parted(raw):
+                s, tf, counts = vectors(raw[a:b])
+                found = samples(s, w(s, tf), counts, BANDS * ROWS, w.plain)
+                keys += [row if n else None for n, row in zip(counts.tolist(), _as_long(band_keys(found, BANDS, ROWS)).tolist(), strict=True)]
+                x, y = identity(s, tf, counts)
+                one += [v if n else None for n, v in zip(counts.tolist(), _as_long(x).tolist(), strict=True)]
+                two += _as_long(y).tolist()
+                words.append(sketch(found))
+            return [one, two, keys, *(np.concatenate(words).T.tolist() if words else [[]] * len(WORDS))]
+
+        return work
 
     many = T.ArrayType(T.LongType())
     source = docs.select(F.col(key).cast("long").alias("__id"), text_or_empty(F.col(text)).alias("__text")).withColumn("__fp", fingerprint(F.col("__text")))
     fields = [("__v1", T.LongType()), ("__v2", T.LongType()), ("__keys", many), *((w, T.LongType()) for w in WORDS)]
-    signed = written(add_columns(source, "__text", fields, sampler(0), keep=["__id", "__fp"]), "signatures")
+    signed = written(add_columns(source, "__text", fields, sampler, keep=["__id", "__fp"]), "signatures")
     order = F.struct(F.col("__id").isNull().alias("none"), "__id", "__fp")
     # a class is the documents with the same weighted shingles
     classes = signed.where("__v1 is not null").groupBy("__v1", "__v2").agg(F.min(order).alias("__least"), F.count("*").alias("__copies"), *(F.first(c).alias(c) for c in ("__keys", *WORDS)))
@@ -482,14 +465,8 @@ def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", thre
 
     linker = _Linker(classes, texts_of, weights, threshold)
     members = _members(classes)
-    for level in range(len(LEVELS)):
-        if members.isEmpty():
-            break
-        crowd = linker.level(members, level + 1 == len(LEVELS))
-        if crowd is None:
-            break
-        again = add_columns(texts_of(crowd), "__text", [("__keys", many)], sampler(level + 1), keep=["__node"])
-        members = _members(again.join(classes.select("__node", *WORDS), "__node"))
+    if not members.isEmpty():
+        linker.link(members)
     named = classes.select("__v1", "__v2", "__least", "__copies", F.col("__node").alias("__label"))
     if linker.labels is not None:
         named = classes.join(linker.labels.withColumnRenamed("node", "__node"), "__node", "left").select("__v1", "__v2", "__least", "__copies", F.coalesce("label", "__node").alias("__label"))

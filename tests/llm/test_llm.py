@@ -629,6 +629,27 @@ def test_near_dedup_by_brute_force(spark):
         assert documents == len(rows) and sorted(n.tolist()) == sorted(v for v in df.values() if v >= 0.1 * len(rows))
 
 
+def test_near_dedup_of_a_large_rest(spark, monkeypatch):
+    """Pairs of near copies in a crowd of like texts: a rest is compared with its whole crowd, whatever its size."""
+    monkeypatch.setattr(op10_minhash, "SMALL", 1)
+    monkeypatch.setattr(op10_minhash, "FEW", 3, raising=False)
+    monkeypatch.setattr(op10_minhash, "LEVELS", ((10, 3), (1, 60)), raising=False)
+    rnd, words = corpus(0, 31)
+    slots, texts = [(words(10), words(10)) for _ in range(60)], []
+    for _ in range(120):
+        picks = [rnd.random() < 0.15 for _ in slots]
+        texts.append(picks)
+        flipped = set(rnd.sample(range(60), 2))
+        texts.append([p != (k in flipped) for k, p in enumerate(picks)])
+    texts = [" ".join(w for p, s in zip(picks, slots, strict=True) for w in s[p]) for picks in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = op10_minhash.Weights(*op10_minhash.document_frequencies(docs, "text", 0.01), 0.01)
+    near = [i for i in range(0, 240, 2) if op10_minhash.weighted_jaccard(texts[i].encode(), texts[i + 1].encode(), weights) >= 0.8]
+    got = {r.doc_id: r.class_id for r in op10_minhash.near_dedup(docs).collect()}
+    assert len(near) > 50 and len(set(got.values())) > 20
+    assert all(got[i] == got[i + 1] for i in near), sum(got[i] != got[i + 1] for i in near)
+
+
 def test_samples_estimate_similarity():
     from evigrain.llm.shingles import mix
 

@@ -427,6 +427,25 @@ def test_substring_rows_of_a_crowd(spark):
     assert len(got) <= 5 * 120, len(got)
 
 
+def test_substring_spans_that_may_hold():
+    """Against all spans; rows of a crowd that share enough codes, but nowhere close enough for a passage, make no pairs."""
+    rnd = np.random.default_rng(20)
+    for n, width in ((12, 5), (7, 7), (4, 6), (30, 9)):
+        have = rnd.random((300, n)) < 0.86
+        new = have & (rnd.random((300, n)) < 0.2)
+        before, after = rnd.integers(0, 12, (2, 300)) * (rnd.random((2, 300)) < 0.5)
+        want = []
+        for h, f, x, y in zip(have, new, before, after, strict=True):
+            h, f = (np.concatenate([np.full(x, v), z, np.full(y, v)]) for z, v in ((h, True), (f, False)))
+            spans = [(i, j) for i in range(len(h)) for j in range(i + width, len(h) + 1)]
+            want.append(any(f[i:j].any() and 9 * h[i:j].sum() >= 8 * (j - i) for i, j in spans))
+        assert 0 < sum(want) < 300 and want == op07_substring.may_hold(have, new, width, before, after).tolist()
+    # row k has codes of its own at each tenth place from k on: two have 0.9 in common there, or 0.8
+    codes = [np.where(np.arange(200) % 10 == k % 10, 1000 * (k + 1) + np.arange(200), np.arange(200)).astype(np.uint32) for k in range(40)]
+    b, a, *_ = op07_substring.context_matches(codes, np.full(40, 46), [np.ones(200, bool)] * 40, np.arange(40), np.zeros((40, 2), np.int64), 46, False)
+    assert {(x, y) for x, y in zip(b, a, strict=True)} == {(x, y) for x in range(40) for y in range(x % 10, x, 10)}
+
+
 def test_substring_copies(spark):
     """Each copy names the least id; a text with copies keeps its other passages."""
     rnd, _ = corpus(0, 17)

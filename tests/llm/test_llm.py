@@ -446,6 +446,33 @@ def test_substring_spans_that_may_hold():
     assert {(x, y) for x, y in zip(b, a, strict=True)} == {(x, y) for x in range(40) for y in range(x % 10, x, 10)}
 
 
+def test_substring_names_a_passage_once_it_adds_words(spark):
+    """Of a crowd of near copies, whose edits leave places that none covers, later pairs add no rows for words that are covered."""
+    rnd = np.random.default_rng(23)
+    base = [f"w{k}" for k in range(400)]
+    docs = []
+    for i in range(60):
+        words, at = list(base), int(rnd.integers(5, 30))
+        while at < len(words):
+            words[at] = f"d{i}x{at}"
+            at += int(rnd.integers(12, 45))
+        docs.append((i, " ".join(words)))
+    found = op07_substring.duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    # every word that any earlier document verifies is covered, by no more rows than places have need of
+    for i, text in docs:
+        mine = [(r.start_word, r.end_word) for r in found if r.doc_id == i]
+        every = {w for _, other in docs[:i] for lo, hi, *_ in op07_substring.passages(text.encode(), other.encode(), 50) for w in range(lo, hi)}
+        got = {w for lo, hi in mine for w in range(lo, hi)}
+        assert got <= every and len(got) >= 0.99 * len(every), (i, len(got), len(every))
+    assert len(found) <= 400, len(found)
+    b = " ".join(base).encode()
+    a = " ".join(base[100:300]).encode()
+    whole = op07_substring.passages(a, b, 50)
+    assert whole and op07_substring.passages(a, b, 50, known=[p[:2] for p in whole]) == []
+    lo, hi, *_ = whole[0]
+    assert whole[0] in op07_substring.passages(a, b, 50, known=[(lo, hi - 1)])
+
+
 def test_substring_copies(spark):
     """Each copy names the least id; a text with copies keeps its other passages."""
     rnd, _ = corpus(0, 17)

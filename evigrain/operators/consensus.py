@@ -23,17 +23,24 @@ def classification(total: Column, claims: Column, groups: Column, support: Colum
     )
 
 
+def exact_sum(value: Column) -> Column:
+    """A sum of doubles that is the same in any order: of 15 decimals each, rounded to 12."""
+    return F.sum(value.cast("decimal(28,15)")).cast("decimal(38,12)").cast("double")
+
+
 def topic_consensus(claims: DataFrame, by: Sequence[str] = ("topic",)) -> DataFrame:
     """One row per topic: weights of the stances, their shares, and the consensus class.
 
     ``claims`` has the columns of ``by``, ``group_id``, ``stance``, ``strength``,
     ``weight`` and ``verified``. Rows of no weight or neutral stance are left
-    out. The claims of one independence group weigh 1 in all at most. Two
+    out. The claims of one independence group weigh 1 in all at most. Sums are
+    exact and shares of 12 decimals, so one on a rule's edge is on it whatever
+    the partitions. Two
     aggregations on nested keys; both combine before their shuffle.
     """
     keys = list(by)
     eligible = claims.where((F.col("weight") > 0) & F.col("stance").isin(*STANCES))
-    sums = [F.sum(F.when(F.col("stance") == s, F.col("weight")).otherwise(0.0)).alias(s.lower()) for s in STANCES]
+    sums = [exact_sum(F.when(F.col("stance") == s, F.col("weight")).otherwise(0.0)).alias(s.lower()) for s in STANCES]
     supports = F.col("stance") == "SUPPORT"
     group = eligible.groupBy(*keys, "group_id").agg(
         *sums,
@@ -44,14 +51,14 @@ def topic_consensus(claims: DataFrame, by: Sequence[str] = ("topic",)) -> DataFr
     mass = F.col("support") + F.col("refute") + F.col("conditional")
     scale = F.when(mass > 1.0, 1.0 / mass).otherwise(1.0)
     topic = group.groupBy(*keys).agg(
-        *(F.sum(F.col(s.lower()) * scale).alias(s.lower()) for s in STANCES),
+        *(exact_sum(F.col(s.lower()) * scale).alias(s.lower()) for s in STANCES),
         F.sum("claims").alias("claims"),
         F.count("*").alias("groups"),
         F.sum("verified").alias("verified"),
         F.max("empirical").alias("empirical"),
     )
-    total = F.col("support") + F.col("refute") + F.col("conditional")
-    shares = topic.withColumn("total_weight", total).withColumns({f"{s.lower()}_ratio": F.col(s.lower()) / F.col("total_weight") for s in STANCES})
+    total = F.round(F.col("support") + F.col("refute") + F.col("conditional"), 12)
+    shares = topic.withColumn("total_weight", total).withColumns({f"{s.lower()}_ratio": F.round(F.col(s.lower()) / F.col("total_weight"), 12) for s in STANCES})
     label = classification(F.col("total_weight"), F.col("claims"), F.col("groups"), F.col("support_ratio"), F.col("refute_ratio"), F.col("conditional_ratio"), F.col("verified"), F.col("empirical") == 1)
     return shares.select(*keys, "claims", "groups", *(F.round(c, 4).alias(c) for c in ("total_weight", "support_ratio", "refute_ratio", "conditional_ratio")), label.alias("consensus"))
 

@@ -42,3 +42,13 @@ def test_negation_parity_of_odd_texts(spark, tmp_path):
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet')")
     want = con.execute(ORACLE["negation_parity"]).fetchall()
     assert sorted(map(tuple, QUERIES["negation_parity"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_consensus_on_a_rules_edge(spark):
+    """2.4 of 3.0 is 0.8, whatever doubles it is added up from."""
+    from evigrain.operators import consensus
+
+    parts = [[0.6] * 4, [0.8] * 3, [0.1, 0.7, 0.2, 0.6, 0.4, 0.4], [0.4, 0.4, 0.6, 0.2, 0.7, 0.1]]
+    rows = [(k, i, stance, "DIRECT_EMPIRICAL", w, True) for k, x in enumerate(parts) for i, (stance, w) in enumerate([*(("SUPPORT", w) for w in x), ("REFUTE", 0.4), ("CONDITIONAL", 0.2)])]
+    claims = spark.createDataFrame(rows, "topic long, group_id long, stance string, strength string, weight double, verified boolean")
+    assert {(r.total_weight, r.support_ratio, r.consensus) for r in consensus.topic_consensus(claims).collect()} == {(3.0, 0.8, "STRONG_CONSENSUS")}
